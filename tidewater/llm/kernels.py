@@ -44,6 +44,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 _VALUES = mix(np.arange(1, 257, dtype=np.uint64) * _U(0xD1342543DE82EF95))
+_SECOND = mix(_VALUES ^ _U(0x5851F42D4C957F2D))
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -95,11 +96,11 @@ def words(data: np.ndarray, off: np.ndarray, table: np.ndarray = NOT_SPACE) -> t
     return starts, ends, np.searchsorted(starts, off)
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Running sums whose differences hash any range: see ``range_hash``."""
+def prefix_hash(data: np.ndarray, second: bool = False) -> np.ndarray:
+    """Running sums whose differences hash any range: see ``range_hash``. ``second``: an independent hash."""
     up, _ = powers(data.size)
     out = np.zeros(data.size + 1, np.uint64)
-    np.cumsum(_VALUES[data] * up[: data.size], out=out[1:])
+    np.cumsum((_SECOND if second else _VALUES)[data] * up[: data.size], out=out[1:])
     return out
 
 
@@ -133,16 +134,16 @@ def shingles(hashes: np.ndarray, first: np.ndarray, size: int) -> list[np.ndarra
     return out
 
 
-def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of each ``width`` consecutive values."""
+def sliding(pick: np.ufunc, values: np.ndarray, width: int) -> np.ndarray:
+    """Minimum or maximum (``pick``) of each ``width`` consecutive values."""
     if values.size < width:
         return values[:0]
-    low, size = values, 1
+    out, size = values, 1
     while size * 2 <= width:
-        low = np.minimum(low[:-size], low[size:])
+        out = pick(out[:-size], out[size:])
         size *= 2
     rest = width - size
-    return np.minimum(low[:-rest], low[rest:]) if rest else low
+    return pick(out[:-rest], out[rest:]) if rest else out
 
 
 def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:

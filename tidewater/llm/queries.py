@@ -9,6 +9,8 @@ from . import language_id, mixing, quality_classifier, secrets, toxicity
 from .decontamination import decontaminate
 from .quality_rules import quality_rules
 from .shared import fold, written
+from .substring_dedup import substring_dedup
+from .suffix_dedup import suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +24,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
 #: The budget tree: a domain is the source's number modulo 4, sources without a number are a domain of their own.
 LEVELS = ["domain", "lang", "source"]
 WEIGHTS = {"domain": {"d0": 40, "d1": 30, "d2": 20, "d3": 10}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}}
@@ -60,6 +66,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.train(docs, _table(spark, sf_dir, "labels").where(fold("doc_id", 3) != 1))
@@ -67,7 +77,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op4_mix_sources, op5_decontaminate, op6_secret_scan, op7_quality_rules, op8_language_id, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_suffix_dedup, op4_mix_sources, op5_decontaminate, op6_secret_scan, op7_quality_rules, op8_language_id, op9_substring_dedup, op10_toxicity)}
 
 _DOMAIN_SQL = "coalesce('d' || (TRY_CAST(nullif(regexp_extract(source, '([0-9]+)$', 1), '') AS BIGINT) % 4)::VARCHAR, 'other')"
 ORACLES: dict[str, str] = {
