@@ -1,16 +1,85 @@
-"""A corpus pipeline: quality rules, near duplicates, decontamination, secrets, mixing."""
+"""A corpus pipeline: quality rules, near duplicates, benchmark decontamination, secrets, mixing.
+
+Every stage but the last takes and returns rows with the columns of documents. Rows are named by two hashes of id, source and
+text, so null and repeated ids do no harm; verdicts find their rows by that name.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewater.llm import mixing, secrets
+from tidewater.llm.decontamination import decontaminate
+from tidewater.llm.jaccard_join import jaccard_components
+from tidewater.llm.quality_rules import quality_rules
+from tidewater.llm.queries import LEVELS, MAX_EPOCHS, WEIGHTS, with_domain
+from tidewater.llm.shared import written
+
+_NAME = ["k1", "k2"]
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    parts = ["doc_id", "source", "text"]
+    return docs.withColumn("k1", F.xxhash64(*parts)).withColumn("k2", F.xxhash64(F.lit(1), *parts))
+
+
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    return _named(docs).join(rejected.select("row.k1", "row.k2").distinct(), _NAME, "left_anti").drop(*_NAME)
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return _named(docs).withColumn("row", F.struct(*_NAME))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the quality rules reject."""
+    return _without(docs, quality_rules(_rows(docs), "row").where("not kept"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates (five-word shingles, similarity 0.8): the one with the smallest id."""
+    named = _named(docs).withColumn("row", F.struct("doc_id", *_NAME))
+    found = jaccard_components(named, "row")
+    out = _without(docs, found.where("not (row <=> component_id)"))
+    # rows equal in id, source and text have one name; one of them stays
+    again = written(found.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select("row.k1", "row.k2"), "pipeline-equal")
+    if not again.limit(1).count():
+        return out
+    out = _named(out)
+    once = out.join(again, _NAME, "left_semi").dropDuplicates(_NAME)
+    return out.join(again, _NAME, "left_anti").unionByName(once).drop(*_NAME)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold a passage of a benchmark item."""
+    found = decontaminate(_rows(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "row")
+    return _without(docs, found.where("n_hit > 0"))
+
+
+def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets in the texts; n_chars follows where the text changed."""
+    rest = [c for c in docs.columns if c != "text"]
+    found = secrets.scan(docs.withColumn("rest", F.struct(*rest)), "rest")
+    found = found.withColumn("clean", secrets.redact(F.col("text"), F.col("spans")))
+    size = F.when(F.size("spans") > 0, F.length("clean").cast("long")).otherwise(F.col("rest.n_chars"))
+    columns = {c: F.col(f"rest.{c}") for c in rest} | {"text": F.col("clean"), "n_chars": size}
+    return found.select(*(columns[c].alias(c) for c in docs.columns))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Chooses documents so that domains, languages and sources follow their weights: id, levels, tokens, copies."""
+    return mixing.mix(with_domain(docs), LEVELS, WEIGHTS, F.expr("total * 3 div 5"), max_epochs=MAX_EPOCHS)
+
 
-STAGES: list = []
+STAGES = [("quality_rules", quality), ("jaccard_join", near_duplicates), ("decontamination", decontamination), ("secret_scans", redaction), ("mixing", mixture)]
+#: Components of links, spans and digests of five stages are beyond one SQL query; a test compares with brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents."""
+    """Applies the stages to documents, each written before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

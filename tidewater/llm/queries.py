@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import language_id, mixing, quality_classifier, secrets, toxicity
 from .decontamination import decontaminate
+from .jaccard_join import jaccard_components
 from .quality_rules import quality_rules
 from .shared import fold, written
 from .substring_dedup import substring_dedup
@@ -24,6 +25,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"), size=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
 
@@ -77,7 +82,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_suffix_dedup, op4_mix_sources, op5_decontaminate, op6_secret_scan, op7_quality_rules, op8_language_id, op9_substring_dedup, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_jaccard_join, op3_suffix_dedup, op4_mix_sources, op5_decontaminate, op6_secret_scan, op7_quality_rules, op8_language_id, op9_substring_dedup, op10_toxicity)}
 
 _DOMAIN_SQL = "coalesce('d' || (TRY_CAST(nullif(regexp_extract(source, '([0-9]+)$', 1), '') AS BIGINT) % 4)::VARCHAR, 'other')"
 ORACLES: dict[str, str] = {
