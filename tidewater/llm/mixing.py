@@ -16,7 +16,7 @@ from .shared import written
 #: Words of a text, counted as its tokens.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a leaf that one task orders, about; leaves are cut by their seeded order into at most ``MAX_BUCKETS`` buckets.
-BUCKET_ROWS = 5_000
+BUCKET_ROWS = 500
 MAX_BUCKETS = 1 << 16
 
 

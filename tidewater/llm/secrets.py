@@ -69,7 +69,8 @@ def _least(query: frozenset) -> frozenset:
 def _of_strings(strings: frozenset[str]) -> frozenset:
     if any(len(s) < 3 for s in strings):
         return _TRUE
-    return _least(frozenset(frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in strings))
+    # every third trigram and the last cover a string; more would only name the same bytes again
+    return _least(frozenset(frozenset(s[i : i + 3] for i in {*range(0, len(s) - 2, 3), len(s) - 3}) for s in strings))
 
 
 def _analyse(parts) -> _Info:
@@ -129,10 +130,10 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...], row_col: str, text_col:
     """(row, rules: the kinds whose trigram query the row's text meets), for rules that have mandatory trigrams."""
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     wanted = sorted({t for q in queries.values() if frozenset() not in q for c in q for t in c})
-    low = F.lower(text_col)
+    low = F.col("low")
     held = F.array(*(F.when(F.contains(low, F.lit(t)), F.lit(i)) for i, t in enumerate(wanted)))
     # equal texts have one row name, so their postings collapse before they are dealt out
-    postings = docs.select(F.col(row_col), F.explode(F.array_compact(held)).alias("gram")).distinct()
+    postings = docs.select(F.col(row_col), F.lower(text_col).alias("low")).select(F.col(row_col), F.explode(F.array_compact(held)).alias("gram")).distinct()
     number = {t: i for i, t in enumerate(wanted)}
     terms = [(kind, c, len(conj), number[t]) for kind, q in queries.items() if frozenset() not in q for c, conj in enumerate(sorted(q, key=sorted)) for t in sorted(conj)]
     spark = docs.sparkSession
