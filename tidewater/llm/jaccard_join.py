@@ -30,6 +30,8 @@ _CHUNK = 1 << 16
 RARE = 64
 #: Sets of a list that are offered to all others in a round, about.
 OFFERED = 256
+#: Names of texts that are broadcast at most, 16 bytes each.
+FEW = 1 << 18
 _SIGNATURE = [f"g{i}" for i in range(4)]
 _RATIO = 1.25
 
@@ -75,7 +77,7 @@ def _described(source: DataFrame, size: int) -> DataFrame:
 
 
 def _classes(described: DataFrame) -> np.ndarray:
-    """Frequency class of each sketch cell: how often its count doubles the middle one."""
+    """Frequency class of each sketch cell: the power of two in what its count has above the noise that rare tokens make."""
 
     def total(frame):
         import pandas as pd
@@ -89,7 +91,8 @@ def _classes(described: DataFrame) -> np.ndarray:
     parts = described.where("chunk is not null").select("chunk", "cells").groupBy("chunk").applyInPandas(total, "chunk int, cells binary")
     for row in parts.collect():  # of a fixed size
         cells[row.chunk * _CHUNK : (row.chunk + 1) * _CHUNK] = np.frombuffer(row.cells, np.int64)
-    return np.clip(np.log2(cells / max(1.0, float(np.median(cells))) + 1), 0, 62).astype(np.uint8)
+    floor = float(np.median(cells))
+    return np.log2(np.maximum(cells - floor - 3 * np.sqrt(floor), 0) + 1).astype(np.uint8)
 
 
 def _ordered(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -120,7 +123,10 @@ def _prefixes(source: DataFrame, model, size: int, percent: int) -> DataFrame:
 
 
 def _bodies(source: DataFrame, wanted: DataFrame, model, size: int) -> DataFrame:
-    """(s, tokens: the set in order, 8 bytes each) of the sets whose texts are ``wanted`` (t1, t2)."""
+    """(s, tokens: the set in order, 8 bytes each) of the sets whose texts are ``wanted`` (t1, t2).
+
+    Few names are broadcast, up to ``FEW`` by count; beyond that texts and names are dealt out by name.
+    """
 
     def run(batches):
         seen: set[int] = set()
@@ -136,8 +142,10 @@ def _bodies(source: DataFrame, wanted: DataFrame, model, size: int) -> DataFrame
                 if names:
                     yield pa.RecordBatch.from_pydict({"s": pa.array(names, pa.int64()), "tokens": pa.array(bodies, pa.binary())})
 
-    found = source.join(wanted, ["t1", "t2"]).select("text").mapInArrow(run, "s long, tokens binary")
-    return found.groupBy("s").agg(F.first("tokens").alias("tokens"))
+    wanted = wanted.select("t1", "t2")
+    if wanted.limit(FEW + 1).count() <= FEW:
+        wanted = F.broadcast(wanted)
+    return source.join(wanted, ["t1", "t2"], "left_semi").select("text").mapInArrow(run, "s long, tokens binary")
 
 
 def _size_classes(n: int, percent: int) -> range:
@@ -200,20 +208,34 @@ def _verified(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
 
 
 class _Links:
-    """Verified links so far and their components."""
+    """Verified links so far and their components; reads the sets that pairs need, each once."""
 
-    def __init__(self, bodies: DataFrame, percent: int):
-        self.bodies, self.percent = bodies, percent
-        self.links: DataFrame | None = None
+    def __init__(self, read, percent: int):
+        self.read, self.percent = read, percent
+        self.bodies: DataFrame | None = None
         self.labels: DataFrame | None = None
 
+    def sets(self, names: DataFrame) -> DataFrame:
+        """Bodies of the sets named (s), and of others read before."""
+        names = names.distinct()
+        if self.bodies is not None:
+            names = names.join(self.bodies.select("s"), "s", "left_anti")
+        names = written(names, "jaccard-wanted")
+        if names.limit(1).count():
+            # copies that lie in several tasks may say a set more than once; links are told apart later
+            more = written(self.read(names), "jaccard-bodies")
+            self.bodies = more if self.bodies is None else self.bodies.unionByName(more)
+        return self.bodies
+
     def add(self, pairs: DataFrame) -> None:
-        found = written(_verified(pairs, self.bodies, self.percent), "jaccard-links")
+        pairs = written(pairs, "jaccard-pairs")
+        if not pairs.limit(1).count():
+            return
+        bodies = self.sets(pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))))
+        found = written(_verified(pairs, bodies, self.percent), "jaccard-links")
         if found.limit(1).count():
-            # a component's labels stand for its links
-            before = [] if self.labels is None else [self.labels.select(F.col("v").alias("a"), F.col("c").alias("b"))]
-            for x in before:
-                found = found.unionByName(x)
+            if self.labels is not None:  # a component's labels stand for its links
+                found = found.unionByName(self.labels.select(F.col("v").alias("a"), F.col("c").alias("b")))
             self.labels = components(found)
 
     def of(self, rows: DataFrame, column: str, out: str) -> DataFrame:
@@ -224,9 +246,8 @@ class _Links:
         return rows.join(labels, column, "left").withColumn(out, F.coalesce("_c", F.col(column))).drop("_c")
 
 
-def _link(lists: DataFrame, signs: DataFrame, bodies: DataFrame, percent: int, offered: int) -> DataFrame | None:
+def _link(lists: DataFrame, signs: DataFrame, links: _Links, percent: int, offered: int) -> DataFrame | None:
     """Components over all linked pairs of the lists (key, s); ``signs``: s, n, signature and weight."""
-    links = _Links(bodies, percent)
     sizes = lists.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     lists = written(lists.join(sizes, "key").join(signs, "s"), "jaccard-lists")
     pivots = written(lists.groupBy("key").agg(F.max_by("s", "weight").alias("pivot")), "jaccard-pivots")
@@ -278,11 +299,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = rows.where("n > 0").groupBy("s").agg(*(F.first(c).alias(c) for c in ("t1", "t2", "n", *_SIGNATURE)))
     weights = counted.groupBy("s").agg(F.sum("df").alias("weight"), F.max("df").alias("most"))
     signs = written(sets.join(weights, "s"), "jaccard-signs")
-    bodies = written(_bodies(source, signs.select("t1", "t2"), model, size), "jaccard-bodies")
+    links = _Links(lambda names: _bodies(source, signs.join(names, "s"), model, size), percent)
     lists = counted.where(F.col("df") <= rare).select(F.col("token").alias("key"), "s")
-    if signs.where(F.col("most") > rare).limit(1).count():
-        lists = lists.unionByName(_combinations(bodies.join(signs.where(F.col("most") > rare).select("s"), "s"), percent, rare))
-    labels = _link(lists, signs.drop("t1", "t2", "most"), bodies, percent, offered)
+    heavy = signs.where(F.col("most") > rare).select("s")
+    if heavy.limit(1).count():
+        lists = lists.unionByName(_combinations(links.sets(heavy).join(heavy, "s", "left_semi").dropDuplicates(["s"]), percent, rare))
+    labels = _link(lists, signs.drop("t1", "t2", "most"), links, percent, offered)
     named = rows.where("n > 0").select("id", "n", "s")
     named = named.withColumn("c", F.col("s")) if labels is None else named.join(labels.withColumnRenamed("v", "s").withColumnRenamed("c", "label"), "s", "left").withColumn("c", F.coalesce("label", "s"))
     first = written(named.groupBy("c").agg(F.min("id").alias("component_id")), "jaccard-first")
