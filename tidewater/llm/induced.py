@@ -123,8 +123,19 @@ class InducedSorter:
         return i - place
 
     @staticmethod
-    def _deal(queues: Queues, symbols: np.ndarray, places: np.ndarray, index: np.ndarray, lcp: np.ndarray, since: dict[int, int]) -> None:
-        """Send the tuples induced by a scanned stretch (common prefixes ``lcp``; sources at ``index``) to their queues."""
+    def _deal(queues: Queues, symbols: np.ndarray, places: np.ndarray, index: np.ndarray, lcp: np.ndarray, since: dict[int, int] | None) -> None:
+        """Send the tuples induced by a scanned stretch (common prefixes ``lcp``; sources at ``index``) to their queues.
+
+        Without ``since`` only the order counts, as for LMS substrings, and common prefixes stay 0.
+        """
+        if since is None:
+            order = np.argsort(symbols, kind="stable")
+            symbols, places = symbols[order], places[order]
+            cuts = [0, *(np.flatnonzero(symbols[1:] != symbols[:-1]) + 1).tolist(), symbols.size]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if b > a:
+                    queues.push(int(symbols[a]), places[a:b], np.zeros(b - a, np.int32))
+            return
         seen = np.append(lcp, _FAR)
         lowest = int(lcp.min()) if lcp.size else int(_FAR)
         if symbols.size:
@@ -154,14 +165,14 @@ class InducedSorter:
                 since[c] = lowest
         since.update(touched)
 
-    def induce(self, lms: np.ndarray, lcp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """From sorted LMS places, all places in falling order, each with the prefix it shares with the one before."""
+    def induce(self, lms: np.ndarray, lcp: np.ndarray, carry: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """From sorted LMS places, all places in falling order, each with the prefix it shares with the one before (if ``carry``)."""
         t, s = self.t, self.s
         heads = t[lms]
         cuts = np.concatenate([[0], np.flatnonzero(heads[1:] != heads[:-1]) + 1, [lms.size]])
         lms_of = {int(heads[a]): (int(a), int(b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a}
         left, done = Queues(self.folder, self.budget // 8), Queues(self.folder, self.budget // 8)
-        since: dict[int, int] = {}
+        since: dict[int, int] | None = {} if carry else None
         waiting = _Heap(lms_of)
         while (c := waiting.pop()) is not None:
             last = None
@@ -179,7 +190,7 @@ class InducedSorter:
                 place, common = lms[a:b], lcp[a:b].copy()
                 common[0] = 0 if last is None else min(self._run(last), self._run(int(place[0])))
                 self._scan_left(place, common, left, since, waiting)
-        right, since = Queues(self.folder, self.budget // 8), {}
+        right, since = Queues(self.folder, self.budget // 8), {} if carry else None
         waiting = _Heap([-c for c in done.symbols()])
         while (c := waiting.pop()) is not None:
             c, last = -c, None
@@ -240,7 +251,7 @@ class InducedSorter:
         mark = self._array("marks", self.n, np.bool_)
         mark[:] = False
         mark[lms] = True
-        in_order = np.concatenate([p[mark[p]] for p, _ in self.induce(rough, np.zeros(lms.size, np.int32))])[::-1]
+        in_order = np.concatenate([p[mark[p]] for p, _ in self.induce(rough, np.zeros(lms.size, np.int32), carry=False)])[::-1]
         end = self._array("ends", self.n, np.int64)
         end[lms[:-1]] = lms[1:]
         end[lms[-1]] = self.n - 1

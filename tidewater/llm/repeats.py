@@ -3,8 +3,9 @@
 A window is ``width`` consecutive units (bytes, words) of one text. Its minimiser is the least hash of its ``gram``-unit
 parts; consecutive windows with the same minimiser form a segment. A window that occurs twice has the same minimiser
 both times, so only segments whose minimiser occurs twice (in two segments, or twice in one) can hold one, and all places of a window meet in its
-minimiser's bucket. Equal segments collapse into one with a weight before any text travels; then
-each distinct segment travels once, as one packed string, to its bucket, where a judge finds the windows that occur
+minimiser's bucket. Equal segments collapse into one with a weight before any text travels. A
+minimiser that stands once in a single distinct segment leaves nothing to compare: the weight says whether its windows occur
+again. Every other distinct segment travels once, as one packed string, to its bucket, where a judge finds the windows that occur
 twice. Verdicts go back to the texts by segment.
 
 Texts are named by two 64-bit hashes, so equal rows share their work and repeated or null ids do no harm.
@@ -208,22 +209,26 @@ def repeated_runs(source: DataFrame, units: Units, shard_bytes: int = SHARD_BYTE
     """(t1, t2, runs: starts of the repeated windows, as ranges of units) of the texts that hold one. ``source`` has t1, t2 and text."""
     cut = _cut(source, units)
     twice = written(cut.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor"), "repeats-anchors")
-    held = cut.join(twice, "anchor").groupBy("anchor", "whole", "t1", "t2", "start", "size").agg(F.count("*").alias("copies"))
+    held = cut.join(twice, "anchor").groupBy("anchor", "whole", "t1", "t2", "start", "size").agg(F.count("*").alias("copies"), F.max("times").alias("times"))
     held = written(held, "repeats-segments")
-    groups = held.groupBy("anchor", "whole").agg(F.sum("copies").alias("weight"), *(F.first(c).alias(c) for c in ("t1", "t2", "start", "size")))
+    groups = held.groupBy("anchor", "whole").agg(F.sum("copies").alias("weight"), F.max("times").alias("times"), *(F.first(c).alias(c) for c in ("t1", "t2", "start", "size")))
     groups = written(groups, "repeats-groups")  # any of the equal segments will do, but the same one for all that follows
-    loads = groups.groupBy("anchor").agg(F.sum(F.col("size") + units.width - 1).alias("load"))
-    total, most = loads.agg(F.sum("load"), F.max("load")).first()
+    loads = groups.groupBy("anchor").agg(F.sum(F.col("size") + units.width - 1).alias("load"), F.count("*").alias("distinct"), F.max("times").alias("times"))
+    # places of the minimiser in distinct segments: two or more have to be compared
+    loads = loads.withColumn("compared", (F.col("distinct") > 1) | (F.col("times") > 1))
+    total, most = loads.where("compared").agg(F.sum("load"), F.max("load")).first()
     scale = 1 if isinstance(units, Bytes) else 7  # bytes of a unit, about
     shards = max(1, -(-int(total or 0) * scale // shard_bytes))
     hot = int(most or 0) * scale > hot_bytes
-    cold = groups
+    placed = groups.drop("times").join(loads.select("anchor", "compared"), "anchor")
+    alone = placed.where("not compared and weight > 1").select("anchor", "whole", F.array(F.struct(F.lit(0).alias("a"), F.col("size").alias("b"))).alias("found"))
+    cold = placed.where("compared").drop("compared")
     if hot:
-        heavy = written(loads.where(F.col("load") * scale > hot_bytes).select("anchor"), "repeats-hot")
-        cold = groups.join(heavy, "anchor", "left_anti")
-    verdicts = _judged(_bodies(source, cold, units), shards, units)
+        heavy = written(loads.where(F.col("compared") & (F.col("load") * scale > hot_bytes)).select("anchor"), "repeats-hot")
+        compared, cold = cold, cold.join(heavy, "anchor", "left_anti")
+    verdicts = alone.unionByName(_judged(_bodies(source, cold, units), shards, units))
     if hot:
-        windows = written(_bodies(source, groups.join(heavy, "anchor", "left_semi"), units, windows=True), "repeats-windows")
+        windows = written(_bodies(source, compared.join(heavy, "anchor", "left_semi"), units, windows=True), "repeats-windows")
         again = windows.groupBy("w1", "w2").agg(F.sum("weight").alias("n")).where("n > 1").select("w1", "w2")
         one = windows.join(again, ["w1", "w2"]).select("anchor", "whole", F.array(F.struct(F.col("offset").alias("a"), (F.col("offset") + 1).cast("int").alias("b"))).alias("found"))
         verdicts = verdicts.unionByName(one.distinct())
