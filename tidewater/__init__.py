@@ -1,0 +1 @@
+"""Analytics over time-ordered records on Spark DataFrames."""
