@@ -112,7 +112,7 @@ def fit_forest(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, ra
     if y.size < 2 * least or y.min() == y.max():
         trees = 0
     cuts = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1]).astype(np.float32)) for c in x.T] if trees else []
-    binned = [np.searchsorted(c, col) for c, col in zip(cuts, x.T, strict=True)]
+    binned = [np.searchsorted(c, col) for c, col in zip(cuts, x.T, strict=True)] if trees else []
     raw = np.full(y.size, base)
     for _ in range(trees):
         p = 1 / (1 + np.exp(-raw))
