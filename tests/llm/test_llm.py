@@ -285,7 +285,7 @@ def test_clause_grammar():
     assert event([o, i]) == "insult" and event([t, o, i]) == "aimed" and event([n, o, i]) == "denied" and event([r, o, o, i]) == "reported"
     assert event([h, o, t]) == "threat" and event([h, o]) is None and event([n, h, t]) is None and event([o]) is None
     assert event([n, o, o, o, i]) == "insult", "negation does not reach further than three words"
-    assert event([n, i, t, i]) == "aimed", "the gravest event counts"
+    assert event([n, i, o, o, t, i]) == "aimed", "the gravest event counts"
 
 
 def test_mixing_follows_weights(spark):
@@ -337,7 +337,10 @@ def test_odd_rows(spark, odd, name):
 
 def test_odd_rows_mix(spark, odd):
     got = mixing.mix(odd, ["domain", "lang", "source"], {}, F.expr("total"))
-    assert got.agg(F.sum("copies")).first()[0] == 5
+    total = odd.select(F.sum(F.size(F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda x: x != "")))).first()[0]
+    rows = got.collect()
+    assert sum(r.n_tokens * r.copies for r in rows) <= total and all(1 <= r.copies <= 4 and r.n_tokens > 0 for r in rows)
+    assert [r.copies for r in rows if r.lang == "\0"] == [4], "a leaf beyond its capacity gives all epochs"
     assert mixing.mix(odd.limit(0), ["lang"], {}, F.expr("total")).count() == 0
 
 
