@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, quality_classifier, secrets, toxicity
+from . import language_id, mixing, oracles, quality_classifier, secrets, toxicity
 from .decontamination import decontaminate
 from .jaccard_join import jaccard_components
 from .quality_rules import quality_rules
@@ -87,4 +87,8 @@ QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_jaccard_join, op3
 _DOMAIN_SQL = "coalesce('d' || (TRY_CAST(nullif(regexp_extract(source, '([0-9]+)$', 1), '') AS BIGINT) % 4)::VARCHAR, 'other')"
 ORACLES: dict[str, str] = {
     "op4_mix_sources": mixing.mix_sql(f"SELECT doc_id, {_DOMAIN_SQL} AS domain, lang, source, text FROM documents", LEVELS, WEIGHTS, "total * 3 // 5", max_epochs=MAX_EPOCHS),
+    "op2_jaccard_join": oracles.JACCARD,
+    "op5_decontaminate": oracles.DECONTAMINATION,
+    "op7_quality_rules": oracles.QUALITY_RULES,
+    "op9_substring_dedup": oracles.SUBSTRING,
 }
