@@ -7,9 +7,9 @@ classes (by hash) one holds two of them; frequent tokens are indexed as 2-token
 ones singly.
 
 Equal sets are one set. Each index list first offers its sets to one pivot, the set that shares most; verified links are
-joined to components, and only pairs of a list that lie in different components are looked at again. A parity
-signature (a lower bound of the difference) and the sizes rule most pairs out before sets travel; the
-rest are verified token by token.
+joined to components, and only pairs of a list that lie in different components are looked at again. Sizes and a short parity
+signature (a lower bound of the difference) rule pairs out within lists, a signature with a bit or more for each token rules
+out pairs of long sets; what is left is verified token by token.
 """
 
 from __future__ import annotations
@@ -50,23 +50,39 @@ def _signature(tokens: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount((tokens >> np.uint64(7)).astype(np.int64) & 255, minlength=256) & 1).astype(np.uint8)).view(np.int64)
 
 
+def _long_signature(tokens: np.ndarray) -> bytes:
+    """Parity of the tokens by bit, a power of two of bits, at least one for each token; equal tokens of two sets cancel out."""
+    bits = 1 << max(8, int(tokens.size).bit_length())
+    return np.packbits((np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def _least_difference(a: bytes, b: bytes) -> int:
+    """How many tokens two sets differ in at least: the longer signature is folded down to the shorter."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while x.size > y.size:
+        x = x[: x.size // 2] ^ x[x.size // 2 :]
+    while y.size > x.size:
+        y = y[: y.size // 2] ^ y[y.size // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _described(source: DataFrame, size: int) -> DataFrame:
     """For each row: id, t1, t2, n, s (the set's name) and signature; besides, each task's token counts by sketch cell."""
     kind = source.schema[0].dataType.simpleString()
-    head = f"id {kind}, t1 long, t2 long, n long, s long, " + ", ".join(f"{g} long" for g in _SIGNATURE) + ", chunk int, cells binary"
+    head = f"id {kind}, t1 long, t2 long, n long, s long, " + ", ".join(f"{g} long" for g in _SIGNATURE) + ", sign binary, chunk int, cells binary"
 
     def run(batches):
         cells, target = np.zeros(_CELLS, np.uint32), None
         for batch in batches:
             if target is None:
-                target = pa.schema([("id", batch.schema[0].type), *((x, pa.int64()) for x in ("t1", "t2", "n", "s", *_SIGNATURE)), ("chunk", pa.int32()), ("cells", pa.binary())])
+                target = pa.schema([("id", batch.schema[0].type), *((x, pa.int64()) for x in ("t1", "t2", "n", "s", *_SIGNATURE)), ("sign", pa.binary()), ("chunk", pa.int32()), ("cells", pa.binary())])
             for a, b, data, off in k.string_slices(batch.column(3)):
                 sets = _token_sets(data, off, size)
                 whole = np.concatenate(sets)
                 cells += np.bincount((whole >> np.uint64(44)).astype(np.int64), minlength=_CELLS).astype(np.uint32)
                 signs = np.stack([_signature(x) for x in sets])
                 arrays = [batch.column(i).slice(a, b - a) for i in range(3)]
-                arrays += [pa.array([x.size for x in sets], pa.int64()), pa.array([_set_name(x) if x.size else 0 for x in sets], pa.int64()), *(pa.array(signs[:, i]) for i in range(4))]
+                arrays += [pa.array([x.size for x in sets], pa.int64()), pa.array([_set_name(x) if x.size else 0 for x in sets], pa.int64()), *(pa.array(signs[:, i]) for i in range(4)), pa.array([_long_signature(x) if x.size else None for x in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary())], schema=target)
         if target is not None:
             for i in range(_CELLS // _CHUNK):
@@ -190,6 +206,18 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (apart * (100 + percent) <= (n + m) * (100 - percent))
 
 
+def _possible(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the long signatures do not rule out."""
+
+    def run(batch):
+        columns = [batch.column(i).to_pylist() for i in range(2, 6)]
+        ok = pa.array([_least_difference(x, y) * (100 + percent) <= (n + m) * (100 - percent) for x, y, n, m in zip(*columns, strict=True)], pa.bool_())
+        yield {"a": batch.column(0).filter(ok), "b": batch.column(1).filter(ok)}
+
+    x, y = (signs.select(F.col("s").alias(v), F.col("sign").alias(f"s{v}"), F.col("n").alias(f"n{v}")) for v in "ab")
+    return by_batch(pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb", "na", "nb"), "a long, b long", run)
+
+
 def _verified(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link."""
 
@@ -210,8 +238,8 @@ def _verified(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
 class _Links:
     """Verified links so far and their components; reads the sets that pairs need, each once."""
 
-    def __init__(self, read, percent: int):
-        self.read, self.percent = read, percent
+    def __init__(self, read, signs: DataFrame, percent: int):
+        self.read, self.signs, self.percent = read, signs, percent
         self.bodies: DataFrame | None = None
         self.labels: DataFrame | None = None
 
@@ -228,7 +256,7 @@ class _Links:
         return self.bodies
 
     def add(self, pairs: DataFrame) -> None:
-        pairs = written(pairs, "jaccard-pairs")
+        pairs = written(_possible(pairs, self.signs, self.percent), "jaccard-pairs")
         if not pairs.limit(1).count():
             return
         bodies = self.sets(pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))))
@@ -296,15 +324,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     held = written(prefixes.join(shared, "token").distinct(), "jaccard-prefixes")
     df = held.groupBy("token").agg(F.count("*").alias("df"))
     counted = written(held.join(df, "token"), "jaccard-counted")
-    sets = rows.where("n > 0").groupBy("s").agg(*(F.first(c).alias(c) for c in ("t1", "t2", "n", *_SIGNATURE)))
+    sets = rows.where("n > 0").groupBy("s").agg(*(F.first(c).alias(c) for c in ("t1", "t2", "n", "sign", *_SIGNATURE)))
     weights = counted.groupBy("s").agg(F.sum("df").alias("weight"), F.max("df").alias("most"))
     signs = written(sets.join(weights, "s"), "jaccard-signs")
-    links = _Links(lambda names: _bodies(source, signs.join(names, "s"), model, size), percent)
+    links = _Links(lambda names: _bodies(source, signs.join(names, "s"), model, size), signs.select("s", "sign", "n"), percent)
     lists = counted.where(F.col("df") <= rare).select(F.col("token").alias("key"), "s")
     heavy = signs.where(F.col("most") > rare).select("s")
     if heavy.limit(1).count():
         lists = lists.unionByName(_combinations(links.sets(heavy).join(heavy, "s", "left_semi").dropDuplicates(["s"]), percent, rare))
-    labels = _link(lists, signs.drop("t1", "t2", "most"), links, percent, offered)
+    labels = _link(lists, signs.drop("t1", "t2", "most", "sign"), links, percent, offered)
     named = rows.where("n > 0").select("id", "n", "s")
     named = named.withColumn("c", F.col("s")) if labels is None else named.join(labels.withColumnRenamed("v", "s").withColumnRenamed("c", "label"), "s", "left").withColumn("c", F.coalesce("label", "s"))
     first = written(named.groupBy("c").agg(F.min("id").alias("component_id")), "jaccard-first")
