@@ -100,23 +100,22 @@ def kpis(rows: DataFrame, group: str = "scenario") -> DataFrame:
     )
 
 
-def lower_share_threshold(rows: DataFrame, column: str = "travel_time", share: float = 0.2) -> DataFrame:
+def lower_share_threshold(rows: DataFrame, column: str = "travel_time", share: float = 0.2, parts: int = 64) -> DataFrame:
     """The least value whose percent rank is ``share`` or more.
 
-    Percent rank is (rows below) / (rows - 1), so counting by distinct value does for the ranking of all rows in one task.
+    Percent rank is (rows below) / (rows - 1). Rows are counted by value, values dealt into parts by approximate quantiles (any bounds
+    give the exact result), and rows below counted within the parts; no task ranks all rows.
     """
-    counts = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    buckets = counts.withColumn("part", F.spark_partition_id())
-    total = rows.where(F.col(column).isNotNull()).count()
-    if total <= 1:
-        return counts.agg(F.min(column).alias("threshold"))
-    # the smallest value with at least share * (total - 1) rows below it
-    ordered = buckets.repartitionByRange(column).withColumn("part", F.spark_partition_id())
-    sums = ordered.groupBy("part").agg(F.sum("n").alias("held"))
-    before = sums.withColumn("before", F.coalesce(F.sum("held").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")
+    known = rows.where(F.col(column).isNotNull())
+    bounds = sorted(set(known.approxQuantile(column, [i / parts for i in range(1, parts)], 0.01)))
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(column))) if bounds else F.lit(0)
+    counts = known.groupBy(column).agg(F.count("*").alias("n")).withColumn("part", part)
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
+    sums = counts.groupBy("part").agg(F.sum("n").alias("held"))
+    before = sums.select("part", F.coalesce(F.sum("held").over(upto), F.lit(0)).alias("before"), F.sum("held").over(Window.partitionBy(F.lit(0))).alias("total"))
     inside = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    below = ordered.join(F.broadcast(before), "part").withColumn("below", F.col("before") + inside)
-    return below.where(F.col("below") / (total - 1) >= share).agg(F.min(column).alias("threshold"))
+    below = counts.join(F.broadcast(before), "part").withColumn("below", F.col("before") + inside)
+    return below.where((F.col("total") <= 1) | (F.col("below") >= share * (F.col("total") - 1))).agg(F.min(column).alias("threshold"))
 
 
 #: Speed of each vehicle type (mean, deviation), and for each part of the day: until when, speed factor,
