@@ -48,7 +48,7 @@ def mcclellan(daily: DataFrame, fast: int = 19, slow: int = 39) -> DataFrame:
         line["mcclellan"] = line.adLine.ewm(span=fast).mean() - line.adLine.ewm(span=slow).mean()
         return line[["date", "mcclellan"]]
 
-    series = daily.select("date", "adLine").groupBy(F.lit(0)).applyInPandas(run, "date date, mcclellan double")
+    series = daily.select("date", "adLine", F.lit(0).alias("_all")).groupBy("_all").applyInPandas(run, "date date, mcclellan double")
     return daily.join(series, "date")
 
 

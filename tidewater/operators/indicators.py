@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import windows as w
@@ -125,8 +125,12 @@ def trend_lines(df: DataFrame, source: str = "kama20", periods: dict[str, int] |
     return df.withColumn("prevailingTrendLine", F.col(f"{first}TrendLine")).withColumn("prevailingTrend", F.col(f"{first}Trend")).drop("_z", "_n", "row_index")
 
 
-def split_adjust(df: DataFrame, factor: str = "splitFactor", tolerance: float = 0.25) -> DataFrame:
-    """Prices divided and volume multiplied by all later splits that the closes confirm, rounded to 4 places.
+def _price(x: Column, places: int | None) -> Column:
+    return x if places is None else F.round(x, places)
+
+
+def split_adjust(df: DataFrame, factor: str = "splitFactor", tolerance: float = 0.25, places: int | None = 4) -> DataFrame:
+    """Prices divided and volume multiplied by all later splits that the closes confirm, rounded to ``places``.
 
     A split counts if the close lies within ``tolerance`` of the close before, divided by the factor.
     """
@@ -135,25 +139,25 @@ def split_adjust(df: DataFrame, factor: str = "splitFactor", tolerance: float =
     later = w.ordered().rowsBetween(1, Window.unboundedFollowing)
     df = df.withColumn("_f", F.when(counts, F.col(factor))).withColumn("_later", F.coalesce(F.product("_f").over(later), F.lit(1.0)))
     for c in ("open", "high", "low", "close"):
-        df = df.withColumn(c, F.round(F.col(c) / F.col("_later"), 4))
+        df = df.withColumn(c, _price(F.col(c) / F.col("_later"), places))
     return df.withColumn("volume", F.round(F.col("volume") * F.col("_later")).cast("long")).drop("_f", "_later")
 
 
-def split_restore(df: DataFrame, factor: str = "splitFactor") -> DataFrame:
+def split_restore(df: DataFrame, factor: str = "splitFactor", places: int | None = 4) -> DataFrame:
     """The inverse, for every split: prices multiplied and volume divided by all later factors."""
     later = w.ordered().rowsBetween(1, Window.unboundedFollowing)
     df = df.withColumn("_later", F.coalesce(F.product(factor).over(later), F.lit(1.0)))
     for c in ("open", "high", "low", "close"):
-        df = df.withColumn(c, F.round(F.col(c) * F.col("_later"), 4))
+        df = df.withColumn(c, _price(F.col(c) * F.col("_later"), places))
     return df.withColumn("volume", F.round(F.try_divide(F.col("volume").cast("double"), F.col("_later"))).cast("long")).drop("_later")
 
 
-def split_append(stored: DataFrame, new: DataFrame, factor: str = "splitFactor") -> DataFrame:
+def split_append(stored: DataFrame, new: DataFrame, factor: str = "splitFactor", places: int | None = 4) -> DataFrame:
     """Stored history rescaled by the splits of the new rows (each counts), with the new rows after it."""
     splits = new.where(F.col(factor) != 1).groupBy(w.KEY).agg(F.product(factor).alias("_f"))
     old = stored.join(splits, w.KEY, "left").withColumn("_f", F.coalesce("_f", F.lit(1.0)))
     for c in ("open", "high", "low", "close"):
-        old = old.withColumn(c, F.round(F.col(c) / F.col("_f"), 4))
+        old = old.withColumn(c, _price(F.col(c) / F.col("_f"), places))
     return old.withColumn("volume", F.round(F.col("volume") * F.col("_f")).cast("long")).drop("_f").unionByName(new, allowMissingColumns=True)
 
 

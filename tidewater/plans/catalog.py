@@ -57,12 +57,7 @@ _query("breadth_counters", lambda spark, d: breadth.counters(views.bars(spark, d
 
 
 def _breadth(name: str, column: str, expression: str, build=_daily) -> None:
-    _query(name, lambda spark, d: _rounded(build(spark, d), column, "date", 6), f"WITH {sql.BARS}, {_BREADTH} SELECT date, round({expression}, 6) + 0.0 AS {column} FROM (SELECT *, row_number() OVER (ORDER BY date) - 1 AS i, sum(advances - declines) OVER {_DATES} AS ad FROM daily)")
-
-
-def _date_ewm(span: int) -> str:
-    q = f"pow({1 / (1 - 2 / (span + 1))!r}, i)"
-    return f"sum(ad * {q} / 1e60) OVER (PARTITION BY 0 ORDER BY date ROWS BETWEEN 400 PRECEDING AND CURRENT ROW) / sum({q} / 1e60) OVER (PARTITION BY 0 ORDER BY date ROWS BETWEEN 400 PRECEDING AND CURRENT ROW)"
+    _query(name, lambda spark, d: _rounded(build(spark, d), column, "date", 6), f"WITH {sql.BARS}, {_BREADTH} SELECT date, round(CAST({expression} AS DOUBLE) + {sql.NUDGE!r}, 6) + CAST(0 AS DOUBLE) AS {column} FROM (SELECT *, row_number() OVER (ORDER BY date) - 1 AS i, sum(advances - declines) OVER {_DATES} AS ad FROM daily)")
 
 
 _SHARE = "(newHighs::DOUBLE / nullif(newHighs + newLows, 0))"
@@ -75,7 +70,7 @@ _query(
     f"""WITH RECURSIVE {sql.BARS}, {_BREADTH}, line AS (SELECT date, row_number() OVER (ORDER BY date) AS n, CAST(sum(advances - declines) OVER {_DATES} AS DOUBLE) AS ad FROM daily),
     r AS (SELECT n, date, ad AS a, 1.0::DOUBLE AS wa, ad AS b, 1.0::DOUBLE AS wb FROM line WHERE n = 1
       UNION ALL SELECT l.n, l.date, r.a * 0.9 + l.ad, r.wa * 0.9 + 1, r.b * 0.95 + l.ad, r.wb * 0.95 + 1 FROM r JOIN line AS l ON l.n = r.n + 1)
-    SELECT date, round(a / wa - b / wb, 4) + 0.0 AS mcclellan FROM r""",
+    SELECT date, round(a / wa - b / wb + {sql.NUDGE!r}, 4) + CAST(0 AS DOUBLE) AS mcclellan FROM r""",
 )
 
 # --- windows
@@ -172,12 +167,12 @@ def _with_splits(b: DataFrame) -> DataFrame:
 _SPLITS = "(SELECT *, CASE WHEN i % 97 = 96 THEN CASE WHEN i % 2 = 0 THEN 2.0 ELSE 1.05 END ELSE 1.0 END AS splitFactor FROM bars)"
 _LATER = f"({sql.ORDER} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
 _on_bars(
-    "split_adjust", "open high low close volume", lambda b: indicators.split_adjust(_with_splits(b)),
+    "split_adjust", "open high low close volume", lambda b: indicators.split_adjust(_with_splits(b), places=None),
     f"(SELECT ticker, date, open / l AS open, high / l AS high, low / l AS low, close / l AS close, round(volume * l) AS volume FROM (SELECT *, coalesce(product(f) OVER {_LATER}, 1) AS l FROM (SELECT *, CASE WHEN splitFactor <> 1 AND close > p * 0.75 AND close < p * 1.25 THEN splitFactor END AS f FROM (SELECT *, {sql.lag('close')} / splitFactor AS p FROM {_SPLITS}))))",
 )
-_on_bars("split_restore", "close volume", lambda b: indicators.split_restore(_with_splits(b)), f"(SELECT ticker, date, close * l AS close, round(volume / l) AS volume FROM (SELECT *, coalesce(product(splitFactor) OVER {_LATER}, 1) AS l FROM {_SPLITS}))")
+_on_bars("split_restore", "close volume", lambda b: indicators.split_restore(_with_splits(b), places=None), f"(SELECT ticker, date, close * l AS close, round(volume / l) AS volume FROM (SELECT *, coalesce(product(splitFactor) OVER {_LATER}, 1) AS l FROM {_SPLITS}))")
 _query(
-    "split_append", lambda spark, d: _rounded(indicators.split_append(_with_splits(views.bars(spark, d)).where("date < '2000-01-01'"), _with_splits(views.bars(spark, d)).where("date >= '2000-01-01'")), "close volume"),
+    "split_append", lambda spark, d: _rounded(indicators.split_append(_with_splits(views.bars(spark, d)).where("date < '2000-01-01'"), _with_splits(views.bars(spark, d)).where("date >= '2000-01-01'"), places=None), "close volume"),
     sql.out("close volume", f"(SELECT b.ticker, date, CASE WHEN date < DATE '2000-01-01' THEN close / coalesce(f, 1) ELSE close END AS close, CASE WHEN date < DATE '2000-01-01' THEN round(volume * coalesce(f, 1)) ELSE volume END AS volume FROM bars AS b LEFT JOIN (SELECT ticker, product(splitFactor) AS f FROM {_SPLITS} WHERE date >= DATE '2000-01-01' GROUP BY ticker) AS s ON b.ticker = s.ticker)", keys="ticker, date"),
 )
 _ACTIVITY = f"""WITH {sql.BARS}, r AS (SELECT *, coalesce({sql.roll('avg', 'dollars', 20)} <= 25000, false) AS fails FROM (SELECT *, close * volume AS dollars FROM bars)),
