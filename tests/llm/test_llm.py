@@ -280,6 +280,19 @@ def test_toxicity(spark):
     assert toxicity.score(df, unlearned).count() == 202
 
 
+def test_stems_of_a_language_with_few_toxic_rows(spark):
+    rng = random.Random(6)
+    plain = [" ".join(f"w{rng.randrange(300)}" for _ in range(12)) for _ in range(3000)]
+    rows = [(f"{t} grobian" if i < 295 else f"{t} zurrado" if i < 300 else t, int(i < 300)) for i, t in enumerate(plain)]
+    stems = toxicity.learn_stems(spark.createDataFrame(rows, "text string, y int"))
+    assert set(stems.tolist()) == {toxicity.stem_hash(w, n) for w in ("grobian", "zurrado") for n in (0, 4, 6)}
+
+
+def test_chance_of_a_stem():
+    got = toxicity.chance(np.array([0, 2, 3]), np.array([2, 1, 0]), 4, 10)
+    assert np.allclose(got, [1, 4 / 120 + 36 / 120, 4 / 120])
+
+
 def test_clause_grammar():
     event, i, t, n, r, o, h = toxicity.clause_event, toxicity.INSULT, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT, toxicity.OTHER, toxicity.THREAT
     assert event([o, i]) == "insult" and event([t, o, i]) == "aimed" and event([n, o, i]) == "denied" and event([r, o, o, i]) == "reported"

@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as k
-from .shared import by_batch
+from .shared import by_batch, written
 
 #: Labelled rows that stems and weights are learned from at most.
 SAMPLE_ROWS = 20_000
-#: Stems that a model holds at most: those found in most toxic rows.
-MAX_STEMS = 4096
+#: Share of chance finds among the learned stems, about.
+FALSE_SHARE = 0.05
 #: Bytes of the word beginnings that are learned as stems, besides whole words (0).
 STEM_SIZES = (0, 4, 6)
 
@@ -126,8 +126,23 @@ def stem_hash(word: str, size: int = 0) -> int:
     return int(k.mix(h ^ np.uint64(size + 1))[0])
 
 
-def learn_stems(rows: DataFrame, label_col: str = "y", text_col: str = "text", least: int = 3, least_share: float = 0.02, least_odds: float = 3.5) -> np.ndarray:
-    """Hashes of the stems that tell toxic rows apart: in ``least`` toxic rows and ``least_share`` of them, with log-odds over ``least_odds``."""
+def chance(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n: int) -> np.ndarray:
+    """How probable it is that so many or more of a stem's rows are toxic if it has nothing to do with the label (hypergeometric tail)."""
+    fact = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
+    choose = lambda m, k: fact[m] - fact[k] - fact[m - k]
+    out = np.ones(toxic.size)
+    for i, (a, b) in enumerate(zip(toxic.tolist(), clean.tolist(), strict=True)):
+        x = np.arange(max(a, a + b - (n - n_toxic)), min(a + b, n_toxic) + 1)
+        out[i] = np.exp(choose(n_toxic, x) + choose(n - n_toxic, a + b - x) - choose(n, a + b)).sum()
+    return np.minimum(out, 1.0)
+
+
+def learn_stems(rows: DataFrame, label_col: str = "y", text_col: str = "text", least: int = 3, false_share: float = FALSE_SHARE, least_odds: float = 3.5) -> np.ndarray:
+    """Hashes of the stems that tell toxic rows apart: in ``least`` toxic rows, with log-odds over ``least_odds``, and significant.
+
+    All stems of the rows are tested by their counts, and as many are taken as keep the share of chance finds under ``false_share``
+    (Benjamini and Hochberg). No share of the toxic rows is asked for, so stems of a language with few toxic rows count too.
+    """
 
     def count(batch):
         y = batch.column(1).to_numpy(zero_copy_only=False)
@@ -152,9 +167,22 @@ def learn_stems(rows: DataFrame, label_col: str = "y", text_col: str = "text", l
     if not n_toxic or n_toxic == n:
         return np.empty(0, np.uint64)
     counts = by_batch(rows.select(text_col, label_col), "stem long, toxic long, clean long", count).groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n - n_toxic + 1))
-    found = counts.where((F.col("toxic") >= max(least, least_share * n_toxic)) & (odds >= least_odds)).orderBy(F.desc("toxic"), "stem").limit(MAX_STEMS).collect()
-    return np.sort(np.array([r.stem for r in found], np.int64).view(np.uint64)) if found else np.empty(0, np.uint64)
+    counts = written(counts, "toxicity-stems")
+    pairs = counts.groupBy("toxic", "clean").count().collect()  # a row for each pair of counts, not for each stem
+    toxic, clean, stems = (np.array([r[c] for r in pairs], np.int64) for c in ("toxic", "clean", "count"))
+    p = chance(toxic, clean, n_toxic, n)
+    order = np.argsort(p, kind="stable")
+    upto = np.cumsum(stems[order])
+    fits = np.flatnonzero(p[order] <= false_share * upto / stems.sum()) if upto.size else order
+    odds = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n - n_toxic + 1))
+    good = np.zeros(toxic.size, bool)
+    good[order[: fits[-1] + 1 if fits.size else 0]] = True
+    good &= (toxic >= least) & (odds >= least_odds)
+    if not good.any():
+        return np.empty(0, np.uint64)
+    chosen = rows.sparkSession.createDataFrame(list(zip(toxic[good].tolist(), clean[good].tolist(), strict=True)), "toxic long, clean long")
+    found = counts.join(F.broadcast(chosen), ["toxic", "clean"]).select("stem").collect()
+    return np.sort(np.array([r.stem for r in found], np.int64).view(np.uint64))
 
 
 def _member(h: np.ndarray, table: np.ndarray) -> np.ndarray:
