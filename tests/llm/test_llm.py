@@ -221,6 +221,16 @@ def test_boilerplate_lines_deplete(spark):
     assert all(got[i][0].kept for i in range(43, 73)), "exact copies count once"
 
 
+@pytest.mark.parametrize("size, holders", [(600, 12), (8, 6), (3, 3)])
+def test_lines_repeated_in_hot_and_small_hosts(spark, size, holders):
+    rng = random.Random(size)
+    own = [" ".join(f"q{rng.randrange(10**6)}" for _ in range(40)) for _ in range(size)]
+    texts = [f"{t}\nAll  rights reserved" if i < holders else f"{t}\nquoted twice" if i < holders + 2 else t for i, t in enumerate(own)]
+    got = rows_of(quality_rules(table(spark, texts)))
+    assert [got[i][0].n_line_words for i in range(size)] == [3 if i < holders else 0 for i in range(size)]
+    assert all(got[i][0].kept for i in range(size))
+
+
 def test_quality_classifier(spark):
     rng = random.Random(3)
     good = [" ".join(rng.choice("abcdefghij") * rng.randint(2, 6) for _ in range(rng.randint(30, 90))).capitalize() + "." for _ in range(150)]

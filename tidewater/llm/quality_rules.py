@@ -82,14 +82,15 @@ def _run(batch):
         yield {"id": batch.column(0).slice(a, b - a), "host": batch.column(1).slice(a, b - a)} | {x: y.view(np.int64) if y.dtype == np.uint64 else y.astype(np.int64) for x, y in out.items()} | {"lines": lists}
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 20, max_repeat_share: int = 30, line_share: float = 0.1, line_min: int = 10, min_kept: float = 0.3) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 20, max_repeat_share: int = 30, line_share: float = 0.1, line_min: int = 10, min_kept: float = 0.3, line_most: int | None = 10, small_share: float = 0.5) -> DataFrame:
     """Statistics and verdict for each text.
 
     Returns a row for each row of ``docs``: its id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed (under ``min_words`` words, or over ``max_repeat_share`` percent of the words in windows of
     8 words found again), n_line_words (words in lines above their host's limit) and kept. The limit of
-    a host is ``line_share`` of its distinct texts, ``line_min`` at least; exact copies count once. A text with under
-    ``min_kept`` of its words left is depleted and not kept. Null and empty texts have no words and fail; a null
+    a host is ``line_share`` of its distinct texts, ``line_min`` at least, but ``line_most`` texts at most however large
+    the host, and ``small_share`` of its texts (2 at least) where the host is small; a ``line_most`` of None leaves out both bounds, so the limit grows with the host. Exact copies count
+    once, near copies each. A text with under ``min_kept`` of its words left is depleted and not kept. Null and empty texts have no words and fail; a null
     host is a host of its own; repeated rows get the same verdict; other columns are ignored.
     """
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(host_col).cast("string"), F.lit("\0")).alias("host"), F.col(text_col).cast("string").alias("text"))
@@ -101,7 +102,10 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = lines.groupBy("host", "text_hash", "line").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
     held = lines.groupBy("host", "line").agg(F.count("*").alias("texts"))
     hosts = stats.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("of"))
-    over = held.where(F.col("texts") > line_min).join(hosts, "host").where(F.col("texts") > F.greatest(F.lit(float(line_min)), F.col("of") * line_share)).select("host", "line")
+    limit, lowest = F.greatest(F.lit(float(line_min)), F.col("of") * line_share), line_min
+    if line_most is not None:
+        limit, lowest = F.least(limit, F.lit(float(line_most)), F.greatest(F.lit(2.0), F.col("of") * small_share)), min(line_min, line_most, 2)
+    over = held.where(F.col("texts") > lowest).join(hosts, "host").where(F.col("texts") > limit).select("host", "line")
     copies = stats.groupBy("host", "text_hash").agg(F.count("*").alias("copies"))
     lost = lines.join(over, ["host", "line"]).groupBy("host", "text_hash").agg(F.sum("n").alias("n")).join(copies, ["host", "text_hash"]).select("host", "text_hash", (F.col("n") / F.col("copies")).cast("long").alias("n_line_words"))
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_share * F.col("n_words"))
