@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidewater.llm import mixing, secrets
 from tidewater.llm.decontamination import decontaminate
 from tidewater.llm.jaccard_join import jaccard_components
-from tidewater.llm.quality_rules import quality_rules
+from tidewater.llm.quality_rules import quality_rules, without_lines
 from tidewater.llm.queries import LEVELS, MAX_EPOCHS, WEIGHTS, with_domain
 from tidewater.llm.shared import written
 
@@ -33,8 +33,13 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality rules reject."""
-    return _without(docs, quality_rules(_rows(docs), "row").where("not kept"))
+    """Drops the documents that the quality rules reject and cuts lines above their host's limit from the others; n_chars follows where the text changed."""
+    found = quality_rules(_rows(docs), "row").where("not kept or size(cut_lines) > 0").select("row.k1", "row.k2", "kept", "cut_lines").dropDuplicates(_NAME)
+    out = _named(docs).join(found, _NAME, "left").where("coalesce(kept, true)")
+    changed = F.coalesce(F.size("cut_lines"), F.lit(0)) > 0
+    clean = out.withColumn("clean", F.when(changed, without_lines(F.col("text"), F.col("cut_lines"))).otherwise(F.col("text")))
+    columns = {c: F.col(c) for c in docs.columns} | {"text": F.col("clean"), "n_chars": F.when(changed, F.length("clean").cast("long")).otherwise(F.col("n_chars"))}
+    return clean.select(*(columns[c].alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -231,6 +231,16 @@ def test_lines_repeated_in_hot_and_small_hosts(spark, size, holders):
     assert all(got[i][0].kept for i in range(size))
 
 
+def test_pipeline_cuts_lines_above_the_limit(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(9)
+    own = [" ".join(f"q{rng.randrange(10**6)}" for _ in range(40)) for _ in range(30)]
+    texts = [f"Top line\n{t}\n\n top LINE\nend {i}\n" if i < 15 else f"{t}\n\nend {i}\n" for i, t in enumerate(own)] + ["Top line\n" * 12 + "one two three", None]
+    got = {r.doc_id: r for r in pipeline.quality(spark, table(spark, texts).drop(*CLASHING), "").collect()}
+    assert sorted(got) == list(range(30)), "a depleted and an empty text go"
+    assert all(got[i].text == f"{own[i]}\n\nend {i}\n" and got[i].n_chars == len(got[i].text) for i in range(30))
+
+
 def test_quality_classifier(spark):
     rng = random.Random(3)
     good = [" ".join(rng.choice("abcdefghij") * rng.randint(2, 6) for _ in range(rng.randint(30, 90))).capitalize() + "." for _ in range(150)]

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as k
@@ -22,7 +22,7 @@ REPEAT = 8
 
 
 def text_statistics(data: np.ndarray, off: np.ndarray) -> tuple[dict[str, np.ndarray], tuple]:
-    """The statistics of each row, and its lines (line offsets, hashes, words)."""
+    """The statistics of each row, and its lines with words (row, hash, words, number of the line in its text)."""
     rows = off.size - 1
     starts, ends, first = k.words(data, off)
     n_words = np.diff(first)
@@ -71,14 +71,15 @@ def text_statistics(data: np.ndarray, off: np.ndarray) -> tuple[dict[str, np.nda
     out["n_repeat_words"] = k.row_sums(covered, first)
     low = k.range_hash(k.prefix_hash(k.LOWER[data]), starts, ends)
     line_hash = k.range_hash(k.value_prefix_hash(low), word_from[full], word_to[full])
-    return out | {"text_hash": text}, (row_of_line[full], line_hash, words_in[full])
+    number = np.arange(row_of_line.size) - line_of[row_of_line]
+    return out | {"text_hash": text}, (row_of_line[full], line_hash, words_in[full], number[full])
 
 
 def _run(batch):
     for a, b, data, off in k.string_slices(batch.column(2)):
-        out, (row, line, n) = text_statistics(data, off)
+        out, (row, line, n, number) = text_statistics(data, off)
         counts = np.bincount(row, minlength=b - a)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.StructArray.from_arrays([pa.array(line.view(np.int64)), pa.array(n)], ["line", "n"]))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.StructArray.from_arrays([pa.array(line.view(np.int64)), pa.array(n), pa.array(number.astype(np.int32))], ["line", "n", "at"]))
         yield {"id": batch.column(0).slice(a, b - a), "host": batch.column(1).slice(a, b - a)} | {x: y.view(np.int64) if y.dtype == np.uint64 else y.astype(np.int64) for x, y in out.items()} | {"lines": lists}
 
 
@@ -87,7 +88,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Returns a row for each row of ``docs``: its id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed (under ``min_words`` words, or over ``max_repeat_share`` percent of the words in windows of
-    8 words found again), n_line_words (words in lines above their host's limit) and kept. The limit of
+    8 words found again), n_line_words (words in lines above their host's limit), kept and cut_lines (the numbers of those lines, from 0,
+    for ``without_lines``). The limit of
     a host is ``line_share`` of its distinct texts, ``line_min`` at least, but ``line_most`` texts at most however large
     the host, and ``small_share`` of its texts (2 at least) where the host is small; a ``line_most`` of None leaves out both bounds, so the limit grows with the host. Exact copies count
     once, near copies each. A text with under ``min_kept`` of its words left is depleted and not kept. Null and empty texts have no words and fail; a null
@@ -95,7 +97,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(host_col).cast("string"), F.lit("\0")).alias("host"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema[0].dataType.simpleString()
-    schema = f"id {kind}, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, text_hash long, lines array<struct<line:long,n:long>>"
+    schema = f"id {kind}, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, text_hash long, lines array<struct<line:long,n:long,at:int>>"
     stats = written(by_batch(source, schema, _run), "quality-rules")
     lines = stats.select("host", "text_hash", F.explode("lines").alias("x")).select("host", "text_hash", "x.line", "x.n")
     # the same text has the same lines, so copies collapse here
@@ -107,9 +109,17 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         limit, lowest = F.least(limit, F.lit(float(line_most)), F.greatest(F.lit(2.0), F.col("of") * small_share)), min(line_min, line_most, 2)
     over = held.where(F.col("texts") > lowest).join(hosts, "host").where(F.col("texts") > limit).select("host", "line")
     copies = stats.groupBy("host", "text_hash").agg(F.count("*").alias("copies"))
-    lost = lines.join(over, ["host", "line"]).groupBy("host", "text_hash").agg(F.sum("n").alias("n")).join(copies, ["host", "text_hash"]).select("host", "text_hash", (F.col("n") / F.col("copies")).cast("long").alias("n_line_words"))
+    lost = lines.join(over, ["host", "line"]).groupBy("host", "text_hash").agg(F.sum("n").alias("n"), F.collect_list("line").alias("gone")).join(copies, ["host", "text_hash"])
+    lost = lost.select("host", "text_hash", (F.col("n") / F.col("copies")).cast("long").alias("n_line_words"), "gone")
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_share * F.col("n_words"))
-    out = stats.drop("lines").join(lost, ["host", "text_hash"], "left").withColumn("n_line_words", F.coalesce("n_line_words", F.lit(0)))
+    out = stats.join(lost, ["host", "text_hash"], "left").withColumn("n_line_words", F.coalesce("n_line_words", F.lit(0)))
     out = out.withColumn("base_failed", base)
     kept = ~F.col("base_failed") & (F.col("n_words") - F.col("n_line_words") >= min_kept * F.col("n_words"))
-    return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_line_words", kept.alias("kept"))
+    cut = F.transform(F.filter("lines", lambda x: F.array_contains(F.col("gone"), x["line"])), lambda x: x["at"])
+    return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_line_words", kept.alias("kept"), cut.alias("cut_lines"))
+
+
+def without_lines(text: Column, cut_lines: Column) -> Column:
+    """A text without the lines of these numbers; the others stay as they are."""
+    left = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(cut_lines, i))
+    return F.when(F.size(cut_lines) > 0, F.array_join(left, "\n")).otherwise(text)
