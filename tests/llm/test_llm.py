@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.llm import induced, language_id, mixing, quality_classifier, secrets, toxicity
+from tidewater.llm import induced, language_id, mixing, oracles, quality_classifier, secrets, toxicity
 from tidewater.llm.components import components
 from tidewater.llm.decontamination import PatternClass, decontaminate
 from tidewater.llm.jaccard_join import jaccard_components
@@ -139,6 +139,21 @@ def test_decontaminate(spark, texts, block_bytes):
         assert (r.n_words, r.n_hit, r["items"], sum(s.end - s.start for s in r.hits)) == (len(x), len(hit), sorted(found), len(hit))
 
 
+def test_items_of_null_id_are_searched(spark):
+    duckdb = pytest.importorskip("duckdb")
+    docs = [(1, "x fox y", "en", "s", 7), (2, "eel and fox", "en", "s", 11), (3, "gnu", "en", "s", 3), (4, "clean", "en", "s", 5)]
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    bench = spark.createDataFrame([(None, "fox"), (7, "eel"), (None, "eel and"), (8, "gnu"), (9, None)], "item_id bigint, text string")
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate(docs, bench).collect()}
+    assert got == {1: (1, [None]), 2: (3, ["7", None]), 3: (1, ["8"]), 4: (0, [])}
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    con.register("benchmark", bench.toArrow())
+    digest = lambda x: hashlib.sha256(",".join(i for i in x if i).encode()).hexdigest()
+    found = con.execute(f"SELECT doc_id, n_hit, n_items, items_sha256 FROM ({oracles.DECONTAMINATION})").fetchall()
+    assert sorted(found) == [(i, n, len(x), digest(x)) for i, (n, x) in sorted(got.items())]
+
+
 def test_pattern_search_finds_every_place():
     rng = random.Random(5)
     for _ in range(50):

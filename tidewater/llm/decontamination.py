@@ -86,8 +86,8 @@ class PatternClass:
 class Search:
     """Finds the windows of a block of test items."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int):
-        self.items_of: dict[bytes, set[str]] = defaultdict(set)
+    def __init__(self, items: list[tuple[str | None, str]], window: int):
+        self.items_of: dict[bytes, set[str | None]] = defaultdict(set)
         self.words_of: dict[bytes, int] = {}
         for item, text in items:
             found = WORD.findall(text.encode().translate(_UPPER_TO_LOWER))
@@ -123,14 +123,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     A word is a run of ASCII digits, ASCII letters (lower-cased) and characters beyond ASCII. An item of
     fewer than ``window`` words is one window. Returns a row for each row of ``docs``: its id,
     n_words, n_hit, hits (runs of hit words: start, end) and items (ids whose windows occur, as
-    strings, sorted). Null and empty texts have no words and no hits; items without words
+    strings, sorted; all items of null id are one null, which comes last). Null and empty texts have no words and no hits; items without words
     match nothing; repeated rows and repeated ids stay as they are; equal texts of several items
     count for each item; other columns are ignored. The items are read in blocks of ``block_bytes``
     of text, each broadcast on its own, so that what is broadcast has a bound.
     """
     spark = docs.sparkSession
     blocks, rows, size = [], [], 0
-    chosen = benchmark.select(F.col(item_col).cast("string"), F.col(item_text_col)).where(F.col(item_text_col).isNotNull() & F.col(item_col).isNotNull())
+    chosen = benchmark.select(F.col(item_col).cast("string"), F.col(item_text_col)).where(F.col(item_text_col).isNotNull())
     for row in chosen.toLocalIterator():
         rows.append((row[0], row[1]))
         size += len(row[1])
@@ -151,7 +151,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         for a, b, data, off in k.string_slices(batch.column(1)):
             text, place, first = normalised(data, off)
             marks = np.zeros(place.size + 1, np.int64)
-            items: dict[int, set[str]] = defaultdict(set)
+            items: dict[int, set[str | None]] = defaultdict(set)
             for i in range(len(blocks)):
                 table = search(i)
                 for group in table.classes:
@@ -179,7 +179,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 "n_words": np.diff(first),
                 "n_hit": n_hit,
                 "hits": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                "items": pa.array([sorted(items.get(r, ()), key=str.encode) for r in range(b - a)], pa.list_(pa.string())),
+                "items": pa.array([sorted(items.get(r, ()), key=lambda x: (x is None, (x or "").encode())) for r in range(b - a)], pa.list_(pa.string())),
             }
 
     source = docs.select(F.col(id_col), F.col(text_col).cast("string"))
