@@ -4,33 +4,35 @@ Left-most S-type (LMS) substrings are sorted by induction and named; the sequenc
 recursion. From the sorted LMS suffixes one scan upwards induces the L-type suffixes and one scan downwards the
 S-type ones. Queues keyed by symbol hold the tuples (place, common prefix) still to be scanned: within a symbol tuples arrive in
 suffix order, so the queue that serves the least symbol first is a priority queue. Queues spill to
-files once they pass a memory budget; sequence and types are memory-mapped files once they do.
-A scan takes all waiting tuples of a symbol at once; a tuple's common prefix is one more than the minimum over
-the tuples scanned since the last one that went to the same symbol.
+files once they pass a memory budget and are read back block by block; sequence, types and all arrays over LMS suffixes are memory-mapped files once
+they pass it, filled and read in blocks. A scan takes a block of waiting tuples of a symbol at once; a tuple's common prefix is one more than the minimum over
+the tuples scanned since the last one that went to the same symbol. The recursion ends with a sequence that memory holds (``base`` names).
 """
 
 from __future__ import annotations
 
+import heapq
 import os
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 
+from .repeats import Disk
+
 _FAR = np.int32(2**31 - 1)
-#: Symbols of a reduced sequence that are sorted in memory, without another recursion.
-BASE_SYMBOLS = 1 << 22
+#: Names of a reduced sequence that are sorted in memory, without another recursion.
+BASE_NAMES = 1 << 22
+_BLOCK = 1 << 20
 
 
 class Queues:
     """First-in-first-out queues of (place, common prefix) by symbol, spilled to disk past ``budget`` tuples."""
 
-    def __init__(self, folder: str, budget: int):
-        self.folder, self.budget = folder, budget
+    def __init__(self, disk: Disk, budget: int):
+        self.disk, self.budget = disk, max(1, budget)
         self.parts: dict[int, list] = {}
         self.sizes: dict[int, int] = {}
         self.held = 0
-        self.files = 0
 
     def push(self, symbol: int, place: np.ndarray, lcp: np.ndarray) -> None:
         self.parts.setdefault(symbol, []).append((place, lcp))
@@ -45,54 +47,48 @@ class Queues:
             if self.held <= self.budget // 2 or not self.sizes[symbol]:
                 return
             whole = [x for x in self.parts[symbol] if not isinstance(x, str)]
-            path = os.path.join(self.folder, f"{id(self)}-{self.files}")
-            self.files += 1
-            np.save(f"{path}.npy", np.stack([np.concatenate([x[0] for x in whole]), np.concatenate([x[1] for x in whole]).astype(np.int64)]))
+            path = f"{self.disk.path()}.npy"
+            np.save(path, np.stack([np.concatenate([x[0] for x in whole]), np.concatenate([x[1] for x in whole]).astype(np.int64)]))
             kept = [x for x in self.parts[symbol] if isinstance(x, str)]
             self.parts[symbol] = [*kept, path]  # whatever is in memory came after what is on disk
             self.held -= self.sizes[symbol]
             self.sizes[symbol] = 0
 
-    def pop(self, symbol: int, remove: bool = True) -> tuple[np.ndarray, np.ndarray]:
-        """All tuples of the symbol in order."""
-        parts = self.parts.pop(symbol, []) if remove else self.parts.get(symbol, [])
-        if remove:
-            self.held -= self.sizes.pop(symbol, 0)
-        places, lcps = [], []
-        for x in parts:
-            if isinstance(x, str):
-                place, lcp = np.load(f"{x}.npy")
-                if remove:
-                    os.unlink(f"{x}.npy")
-                places.append(place)
-                lcps.append(lcp.astype(np.int32))
-            else:
-                places.append(x[0])
-                lcps.append(x[1])
-        if not places:
+    def pop(self, symbol: int, last: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The first (or last) tuples of the symbol in order: one file, or all that are in memory; none when the queue is empty."""
+        parts = self.parts.get(symbol)
+        if not parts:
             return np.empty(0, np.int64), np.empty(0, np.int32)
-        return (places[0], lcps[0]) if len(places) == 1 else (np.concatenate(places), np.concatenate(lcps))
+        if isinstance(parts[-1 if last else 0], str):
+            path = parts.pop(-1 if last else 0)
+            place, lcp = np.load(path)
+            os.unlink(path)
+            return place, lcp.astype(np.int32)
+        held = [x for x in parts if not isinstance(x, str)]
+        self.parts[symbol] = [x for x in parts if isinstance(x, str)]
+        self.held -= self.sizes.pop(symbol, 0)
+        return np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
 
     def symbols(self) -> list[int]:
         return list(self.parts)
 
 
 class InducedSorter:
-    """Sorts the suffixes of ``text`` (whole numbers from 1 up); places and types lie on disk past ``budget`` symbols."""
+    """Sorts the suffixes of ``text`` (whole numbers from 1 up)."""
 
-    def __init__(self, text: np.ndarray, folder: str, budget: int = 1 << 24, base: int = BASE_SYMBOLS):
-        self.folder, self.budget, self.base = folder, budget, base
+    def __init__(self, text: np.ndarray, disk: Disk, base: int = BASE_NAMES):
+        self.disk, self.base = disk, base
         n = self.n = text.size + 1  # with a sentinel 0 at the end
-        self.t = self._array("text", n, text.dtype)
-        self.t[:-1] = text
-        self.t[-1] = 0
-        self.s = self._array("types", n, np.bool_)
+        self.t = disk.array(n, text.dtype)
+        for a, b in self._blocks(text.size):
+            self.t[a:b] = text[a:b]
+        self.s = disk.array(n, np.bool_)
         self._types()
 
-    def _array(self, name: str, size: int, kind) -> np.ndarray:
-        if size <= self.budget:
-            return np.empty(size, kind)
-        return np.memmap(os.path.join(self.folder, f"{name}-{id(self)}"), kind, "w+", shape=(size,))
+    def _blocks(self, size: int, start: int = 0) -> Iterator[tuple[int, int]]:
+        step = min(_BLOCK, max(1, self.disk.budget))
+        for a in range(start, size, step):
+            yield a, min(a + step, size)
 
     def _types(self) -> None:
         """A suffix is of type S if it is smaller than the next one; runs of one symbol take the type of their end."""
@@ -110,11 +106,28 @@ class InducedSorter:
             after = bool(self.s[a])
 
     def _lms(self) -> np.ndarray:
-        step, out = 1 << 22, []
-        for a in range(1, self.n, step):
-            b = min(a + step, self.n)
-            out.append(np.flatnonzero(self.s[a:b] & ~self.s[a - 1 : b - 1]) + a)
-        return np.concatenate(out) if out else np.array([], np.int64)
+        found = self.disk.spool(np.int64)
+        for a, b in self._blocks(self.n, 1):
+            found.add(np.flatnonzero(self.s[a:b] & ~self.s[a - 1 : b - 1]) + a)
+        return found.array()
+
+    def _by_symbol(self, places: np.ndarray) -> np.ndarray:
+        """``places`` in the order of their symbols, stable: dealt out block by block."""
+        counts = self.disk.array(int(max(int(self.t[a:b].max()) for a, b in self._blocks(self.n))) + 2, np.int64)
+        for a, b in self._blocks(places.size):
+            np.add.at(counts, self.t[places[a:b]].astype(np.int64) + 1, 1)
+        np.cumsum(counts, out=counts)
+        out = self.disk.array(places.size, np.int64)
+        for a, b in self._blocks(places.size):
+            own = places[a:b]
+            symbols = self.t[own].astype(np.int64)
+            order = np.argsort(symbols, kind="stable")
+            symbols = symbols[order]
+            first = np.flatnonzero(np.concatenate([[True], symbols[1:] != symbols[:-1]]))
+            within = np.arange(symbols.size) - np.repeat(first, np.diff(np.append(first, symbols.size)))
+            out[counts[symbols] + within] = own[order]
+            np.add.at(counts, symbols, 1)
+        return out
 
     def _run(self, place: int) -> int:
         c, i = self.t[place], place
@@ -165,13 +178,22 @@ class InducedSorter:
                 since[c] = lowest
         since.update(touched)
 
+    def _bounds(self, lms: np.ndarray) -> dict[int, tuple[int, int]]:
+        """Where the LMS places of each symbol stand in their order."""
+        out: dict[int, tuple[int, int]] = {}
+        for a, b in self._blocks(lms.size):
+            symbols = self.t[lms[a:b]]
+            cuts = np.concatenate([[0], np.flatnonzero(symbols[1:] != symbols[:-1]) + 1, [b - a]]).tolist()
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                c = int(symbols[x])
+                out[c] = (out[c][0] if c in out else a + x, a + y)
+        return out
+
     def induce(self, lms: np.ndarray, lcp: np.ndarray, carry: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """From sorted LMS places, all places in falling order, each with the prefix it shares with the one before (if ``carry``)."""
-        t, s = self.t, self.s
-        heads = t[lms]
-        cuts = np.concatenate([[0], np.flatnonzero(heads[1:] != heads[:-1]) + 1, [lms.size]])
-        lms_of = {int(heads[a]): (int(a), int(b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a}
-        left, done = Queues(self.folder, self.budget // 8), Queues(self.folder, self.budget // 8)
+        lms_of = self._bounds(lms)
+        budget = self.disk.budget // 8
+        left, done = Queues(self.disk, budget), Queues(self.disk, budget)
         since: dict[int, int] | None = {} if carry else None
         waiting = _Heap(lms_of)
         while (c := waiting.pop()) is not None:
@@ -186,11 +208,12 @@ class InducedSorter:
                 done.push(c, place, common)
                 self._scan_left(place, common, left, since, waiting)
             if c in lms_of:
-                a, b = lms_of[c]
-                place, common = lms[a:b], lcp[a:b].copy()
-                common[0] = 0 if last is None else min(self._run(last), self._run(int(place[0])))
-                self._scan_left(place, common, left, since, waiting)
-        right, since = Queues(self.folder, self.budget // 8), {} if carry else None
+                for a, b in self._blocks(lms_of[c][1], lms_of[c][0]):
+                    place, common = np.array(lms[a:b]), np.array(lcp[a:b])
+                    if a == lms_of[c][0]:
+                        common[0] = 0 if last is None else min(self._run(last), self._run(int(place[0])))
+                    self._scan_left(place, common, left, since, waiting)
+        right, since = Queues(self.disk, budget), {} if carry else None
         waiting = _Heap([-c for c in done.symbols()])
         while (c := waiting.pop()) is not None:
             c, last = -c, None
@@ -203,11 +226,15 @@ class InducedSorter:
                 last = int(place[-1])
                 yield place, common
                 self._scan_right(place, common, right, since, waiting)
-            place, common = done.pop(c)
-            if place.size:
-                common = np.append(common[1:], 0)[::-1].copy()
-                place = place[::-1].copy()
-                common[0] = 0 if last is None else min(self._run(last), self._run(int(place[0])))
+            above = None  # what the last block's first tuple shares with the tuple before it
+            while True:
+                place, common = done.pop(c, last=True)
+                if not place.size:
+                    break
+                place, common = place[::-1].copy(), np.append(common, 0)[::-1].copy()  # each with the one above it now
+                head, common = int(common[-1]), common[:-1]
+                common[0] = above if above is not None else 0 if last is None else min(self._run(last), self._run(int(place[0])))
+                above = head
                 yield place, common
                 self._scan_right(place, common, right, since, waiting)
         yield np.array([self.n - 1]), np.zeros(1, np.int32)
@@ -247,42 +274,55 @@ class InducedSorter:
             yield from self.induce(lms, np.zeros(lms.size, np.int32))
             return
         # LMS substrings in order: induction from the LMS places ordered by their first symbol
-        rough = lms[np.argsort(self.t[lms], kind="stable")]
-        mark = self._array("marks", self.n, np.bool_)
-        mark[:] = False
-        mark[lms] = True
-        in_order = np.concatenate([p[mark[p]] for p, _ in self.induce(rough, np.zeros(lms.size, np.int32), carry=False)])[::-1]
-        end = self._array("ends", self.n, np.int64)
-        end[lms[:-1]] = lms[1:]
-        end[lms[-1]] = self.n - 1
-        size = end[in_order] - in_order + 1
-        pair = np.minimum(size[1:], size[:-1])
-        shared = self._shared(in_order[:-1], in_order[1:], np.where(size[1:] == size[:-1], pair, 0))
-        new = np.ones(lms.size, np.int64)
-        new[1:] = (size[1:] != size[:-1]) | (shared < pair)
-        names = np.cumsum(new)
-        name_at = np.empty(lms.size, np.int64)
-        index = np.searchsorted(lms, in_order)
-        name_at[index] = names
-        if names[-1] == lms.size:
-            rank = index
+        mark, end = self.disk.array(self.n, np.bool_), self.disk.array(self.n, np.int64)
+        for a, b in self._blocks(lms.size):
+            mark[lms[a:b]] = True
+            end[lms[a:b]] = np.append(lms[a + 1 : b + 1], self.n - 1)[: b - a]
+        in_order, at = self.disk.array(lms.size, np.int64), lms.size
+        for place, _ in self.induce(self._by_symbol(lms), self.disk.array(lms.size, np.int32), carry=False):
+            place = place[mark[place]]
+            in_order[at - place.size : at] = place[::-1]
+            at -= place.size
+        name_of, last = self.disk.array(self.n, np.int64), 1
+        for a, b in self._blocks(lms.size):
+            own = np.array(in_order[max(a - 1, 0) : b])
+            size = end[own] - own + 1
+            pair = np.minimum(size[1:], size[:-1])
+            shared = self._shared(own[:-1], own[1:], np.where(size[1:] == size[:-1], pair, 0))
+            new = ((size[1:] != size[:-1]) | (shared < pair)).astype(np.int64)
+            names = last + np.cumsum(new)
+            if not a:
+                names = np.concatenate([[1], names])
+            name_of[in_order[a:b]] = names
+            last = int(names[-1])
+        name_at = self.disk.array(lms.size, np.int64)
+        for a, b in self._blocks(lms.size):
+            name_at[a:b] = name_of[lms[a:b]]
+        rank = self.disk.array(lms.size, np.int64)
+        if last == lms.size:
+            for a, b in self._blocks(lms.size):
+                rank[name_at[a:b] - 1] = np.arange(a, b)
         elif lms.size <= self.base:
-            rank = _by_doubling(name_at, most)
+            rank[:] = _by_doubling(np.asarray(name_at), most)
         else:
-            parts = [p for p, _ in InducedSorter(name_at, self.folder, self.budget, self.base).ordered(most)]
-            rank = np.concatenate(parts)[::-1]
-            rank = rank[rank < lms.size]  # without the sentinel
-        place = lms[rank]
-        lcp = np.zeros(lms.size, np.int32)
-        lcp[1:] = self._common(lms, name_at, rank, most)
+            at = lms.size
+            for part, _ in InducedSorter(name_at, self.disk, self.base).ordered(most):
+                part = part[part < lms.size]  # without the sentinel
+                rank[at - part.size : at] = part[::-1]
+                at -= part.size
+        place, lcp = self.disk.array(lms.size, np.int64), self.disk.array(lms.size, np.int32)
+        for a, b in self._blocks(lms.size):
+            place[a:b] = lms[rank[a:b]]
+            own = np.array(rank[max(a - 1, 0) : b])
+            lcp[b - own.size + 1 : b] = self._common(lms, name_at, own[:-1], own[1:], most)
         yield from self.induce(place, lcp)
 
-    def _common(self, lms: np.ndarray, names: np.ndarray, rank: np.ndarray, most: int) -> np.ndarray:
-        """Symbols that neighbouring sorted LMS suffixes share, up to ``most``: whole equal names, then the first unequal pair symbol by symbol."""
-        a, b = rank[:-1].copy(), rank[1:].copy()
+    def _common(self, lms: np.ndarray, names: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+        """Symbols that the LMS suffixes numbered a and b share, up to ``most``: whole equal names, then the first unequal pair symbol by symbol."""
+        a, b = a.copy(), b.copy()
         out = np.zeros(a.size, np.int64)
         live = np.arange(a.size)
-        starts = np.append(lms, self.n)
+        start = lambda x: np.where(x < names.size, lms[np.minimum(x, names.size - 1)], self.n)
         while live.size:
             i, j = a[live], b[live]
             going = (i < names.size) & (j < names.size) & (out[live] < most)
@@ -290,21 +330,18 @@ class InducedSorter:
             i, j = i[going], j[going]
             same = names[i] == names[j]
             live, i = live[same], i[same]
-            out[live] += starts[i + 1] - starts[i]
+            out[live] += start(i + 1) - start(i)
             a[live] += 1
             b[live] += 1
         rest = np.maximum(most - out, 0)
         rest[(a >= names.size) | (b >= names.size)] = 0
-        return np.minimum(out + self._shared(starts[np.minimum(a, names.size)], starts[np.minimum(b, names.size)], rest), int(_FAR) - 1)
+        return np.minimum(out + self._shared(start(a), start(b), rest), int(_FAR) - 1)
 
 
 class _Heap:
     """The least of a growing set of symbols not yet served."""
 
     def __init__(self, symbols):
-        import heapq
-
-        self.q = heapq
         self.heap = list(symbols)
         heapq.heapify(self.heap)
         self.known = set(self.heap)
@@ -313,10 +350,10 @@ class _Heap:
         for c in (np.flatnonzero(np.bincount(symbols)) if symbols.dtype == np.uint8 else np.unique(symbols)).tolist():
             if sign * c not in self.known:
                 self.known.add(sign * c)
-                self.q.heappush(self.heap, sign * c)
+                heapq.heappush(self.heap, sign * c)
 
     def pop(self) -> int | None:
-        return self.q.heappop(self.heap) if self.heap else None
+        return heapq.heappop(self.heap) if self.heap else None
 
 
 def _by_doubling(names: np.ndarray, most: int) -> np.ndarray:
@@ -342,22 +379,37 @@ def _by_doubling(names: np.ndarray, most: int) -> np.ndarray:
         width *= 2
 
 
-def repeats(text: np.ndarray, width: int, budget: int = 1 << 24, base: int = BASE_SYMBOLS) -> Iterator[np.ndarray]:
-    """Groups of two or more places of ``text`` (symbols from 1 up) whose suffixes share ``width`` symbols or more.
+def repeats(text: np.ndarray, width: int, disk: Disk, base: int = BASE_NAMES) -> Iterator[Iterator[np.ndarray]]:
+    """Groups of places of ``text`` (symbols from 1 up) whose suffixes share ``width`` symbols or more, each as parts; some groups of one place too.
 
-    Files lie in the task's own temporary folder and end with the call; a task that is lost sorts its shard anew.
+    Files lie in the folder of ``disk``; a task that is lost sorts its shard anew.
     """
-    with tempfile.TemporaryDirectory() as folder:
-        group: list[np.ndarray] = []
-        for place, common in InducedSorter(text, folder, budget, base).ordered(width):
-            cut = np.flatnonzero(common < width)
-            bounds = [0, *cut.tolist(), place.size]
-            for x, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-                if x:  # a cut: the open group ends
-                    if sum(g.size for g in group) > 1:
-                        yield np.concatenate(group)
-                    group = []
-                if b > a:
-                    group.append(place[a:b])
-        if sum(g.size for g in group) > 1:
-            yield np.concatenate(group)
+    stretches = _stretches(InducedSorter(text, disk, base).ordered(width), width)
+    held = next(stretches, None)
+    while held is not None:
+        following: list = []
+
+        def group(first=held[1], following=following):
+            yield first
+            for new, part in stretches:
+                if new:
+                    following.append((new, part))
+                    return
+                yield part
+
+        parts = group()
+        yield parts
+        for _ in parts:
+            pass
+        held = following[0] if following else None
+
+
+def _stretches(ordered: Iterator[tuple[np.ndarray, np.ndarray]], width: int) -> Iterator[tuple[bool, np.ndarray]]:
+    """Blocks of places cut where the common prefix is short: whether a cut comes before, and the places."""
+    for place, common in ordered:
+        bounds = np.concatenate([[0], np.flatnonzero(common < width), [place.size]])
+        size = np.diff(bounds)
+        known = size > 1  # of the others only the outer ones may go on in another block
+        known[[0, -1]] = size[[0, -1]] > 0
+        for x in np.flatnonzero(known).tolist():
+            yield x > 0, place[bounds[x] : bounds[x + 1]]

@@ -19,6 +19,7 @@ CHUNK_BYTES = 1 << 20
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_quick: dict[str, np.ndarray] = {}
 
 #: Bytes of words between ASCII white space (space, \t, \n, \v, \f, \r).
 NOT_SPACE = np.ones(256, bool)
@@ -43,20 +44,67 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * _U(0xD1342543DE82EF95))
-_SECOND = mix(_VALUES ^ _U(0x5851F42D4C957F2D))
-_powers: dict[str, np.ndarray] = {}
+_P = _U((1 << 31) - 1)
+#: Residue fields are 31 bits wide; two bases make a hash, a second pair of bases an independent one.
+_BASES = ((0x3A8F05C5, 0x51E7B2D3), (0x1F6A9C8B, 0x6C9E3777))
+_STEP = 1 << 12
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n + 1 or more powers of the base and of its inverse, modulo 2**64."""
-    if "up" not in _powers or _powers["up"].size <= n:
-        size = 1 << max(16, int(n + 1).bit_length())
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
-    return _powers["up"], _powers["down"]
+def _folded(x: np.ndarray) -> np.ndarray:
+    """A value congruent modulo 2**31 - 1, below 2**33."""
+    return (x & _P) + (x >> _U(31))
+
+
+def _residue(x: np.ndarray) -> np.ndarray:
+    x = _folded(_folded(x))
+    return np.where(x >= _P, x - _P, x)
+
+
+def _series(first: int, base: int, n: int) -> np.ndarray:
+    """first * base**i for i < n, modulo 2**31 - 1."""
+    out = np.empty(max(n, 1), _U)
+    out[0] = first
+    size, step = 1, base % int(_P)
+    while size < n:
+        more = min(size, n - size)
+        out[size : size + more] = _residue(out[:more] * _U(step))
+        size, step = size + more, step * step % int(_P)
+    return out[:n]
+
+
+class _Powers:
+    """Powers of a base, and of its inverse as products of two short tables."""
+
+    def __init__(self, base: int):
+        self.base, self.inverse = base, pow(base, -1, int(_P))
+        self.rising = np.empty(0, np.uint32)
+        self.low, self.high = _series(1, self.inverse, _STEP), np.empty(0, _U)
+
+    def up(self, n: int) -> np.ndarray:
+        if self.rising.size < n:
+            self.rising = _series(1, self.base, 1 << max(16, n.bit_length())).astype(np.uint32)
+        return self.rising[:n]
+
+    def down(self, at: np.ndarray, most: int) -> np.ndarray:
+        if self.high.size <= most // _STEP:
+            self.high = _series(1, pow(self.inverse, _STEP, int(_P)), max(1 << 10, most // _STEP + 1))
+        return _residue(self.low[at % _STEP] * self.high[at // _STEP])
+
+
+_powers = [[_Powers(b) for b in pair] for pair in _BASES]
+_TABLES = [[_residue(mix(np.arange(1, 257, dtype=np.uint64) * _U(0xD1342543DE82EF95 + 2 * (2 * i + j)))) for j in range(2)] for i in range(2)]
+
+
+class Running:
+    """Sums over a sequence whose differences hash any range of it; see ``range_hash``."""
+
+    def __init__(self, fields: list[np.ndarray], second: bool):
+        self.second, self.sums = second, []
+        for values, powers in zip(fields, _powers[second], strict=True):
+            out = np.zeros(values.size + 1, np.uint64)
+            np.cumsum(_folded(values * powers.up(values.size)), out=out[1:])  # below 2**33 each
+            self.sums.append(out)
+        self.size = self.sums[0].size
 
 
 def string_slices(column, chunk: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -96,39 +144,61 @@ def words(data: np.ndarray, off: np.ndarray, table: np.ndarray = NOT_SPACE) -> t
     return starts, ends, np.searchsorted(starts, off)
 
 
-def prefix_hash(data: np.ndarray, second: bool = False) -> np.ndarray:
-    """Running sums whose differences hash any range: see ``range_hash``. ``second``: an independent hash."""
-    up, _ = powers(data.size)
-    out = np.zeros(data.size + 1, np.uint64)
-    np.cumsum((_SECOND if second else _VALUES)[data] * up[: data.size], out=out[1:])
-    return out
+def prefix_hash(data: np.ndarray, second: bool = False) -> Running:
+    """For hashes of ranges of bytes. ``second``: an independent hash."""
+    return Running([table[data] for table in _TABLES[second]], second)
 
 
-def value_prefix_hash(values: np.ndarray) -> np.ndarray:
+def value_prefix_hash(values: np.ndarray, second: bool = False) -> Running:
     """As ``prefix_hash``, for a sequence of 64-bit values."""
-    up, _ = powers(values.size)
-    out = np.zeros(values.size + 1, np.uint64)
-    np.cumsum(values * up[: values.size], out=out[1:])
+    values = mix(values ^ _U(0x5851F42D4C957F2D)) if second else values
+    return Running([_residue(values & _U(0xFFFFFFFF)), _residue(values >> _U(32))], second)
+
+
+def range_hash(running: Running, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the ranges, alike for equal content wherever it lies: two polynomials modulo 2**31 - 1, and the length."""
+    fields = []
+    for sums, powers in zip(running.sums, _powers[running.second], strict=True):
+        fields.append(_residue(_residue(_residue(sums[ends] - sums[starts]) * powers.down(starts, running.size))))
+    return mix(((fields[0] << _U(31)) | fields[1]) ^ mix((ends - starts).astype(np.uint64) + _U(0xA24BAED4963EE407)))
+
+
+def window_hash(values: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hash of each ``size`` consecutive 64-bit values."""
+    if values.size < size:
+        return values[:0]
+    out, width = mix(values), 1
+    while width < size:
+        step = min(width, size - width)  # the last step may overlap
+        out = mix(out[: out.size - step] * _U(0x9E3779B97F4A7C15) + (out[step:] ^ _U(width + step)))
+        width += step
     return out
 
 
-def range_hash(running: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the ranges, alike for equal content wherever it lies."""
-    _, down = powers(running.size)
-    return mix((running[ends] - running[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _U(0xA24BAED4963EE407))
+def rolling(values: np.ndarray, size: int) -> np.ndarray:
+    """A quick hash of each ``size`` consecutive values, to choose minimisers with: unequal content may well collide."""
+    if values.size < size:
+        return np.empty(0, np.uint64)
+    if "up" not in _quick or _quick["up"].size <= values.size:
+        n = 1 << max(16, int(values.size + 1).bit_length())
+        for name, base in (("up", _BASE), ("down", _INVERSE)):
+            steps = np.full(n, base, np.uint64)
+            steps[0] = 1
+            _quick[name] = np.multiply.accumulate(steps)
+    running = np.zeros(values.size + 1, np.uint64)
+    np.cumsum(mix(values + _U(1)) * _quick["up"][: values.size], out=running[1:])
+    return mix((running[size:] - running[:-size]) * _quick["down"][: values.size - size + 1])
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, size: int) -> list[np.ndarray]:
     """Each row's distinct shingle hashes, sorted; a row with fewer words has its whole sequence as one."""
-    running = value_prefix_hash(hashes)
-    n = hashes.size
-    all_of = range_hash(running, np.arange(n - size + 1), np.arange(size, n + 1)) if n >= size else np.empty(0, np.uint64)
+    all_of = window_hash(hashes, size)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= size:
             out.append(np.unique(all_of[a : b - size + 1]))
         elif b > a:
-            out.append(range_hash(running, np.array([a]), np.array([b])))
+            out.append(mix(window_hash(hashes[a:b], b - a) ^ _U(b - a)))
         else:
             out.append(np.empty(0, np.uint64))
     return out

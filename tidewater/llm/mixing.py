@@ -33,16 +33,18 @@ def budgets(leaves: DataFrame, levels: list[str], weights: dict[str, dict[str, i
     At each node, level = the water level: the largest of (budget - capacity of the first i children) / (weight of the others),
     children by capacity over weight; a child gets the smaller of its capacity and weight * level.
     """
-    whole = Window.partitionBy()
+    whole = Window.partitionBy()  # over the children of the root, a row for each value of the first level
     nodes = leaves.groupBy(*levels).agg(F.sum("available").alias("available"))  # a row for each leaf, not for each text
     tree = nodes
+    for c in levels:  # a leaf that a weight of 0 leaves out at any level can hold nothing
+        tree = tree.where(_weight(weights.get(c, {}), c) > 0)
     for depth in range(1, len(levels) + 1):
         family = Window.partitionBy(*levels[:depth])
         tree = tree.withColumn(f"capacity{depth}", F.sum(F.col("available") * max_epochs).over(family))
     parent = nodes.agg(F.sum("available").alias("total")).select(target.cast("long").alias("budget"))
     for depth in range(1, len(levels) + 1):
         path = levels[:depth]
-        children = tree.groupBy(*path).agg(F.first(f"capacity{depth}").alias("capacity")).withColumn("w", _weight(weights.get(path[-1], {}), path[-1])).where("w > 0")
+        children = tree.groupBy(*path).agg(F.first(f"capacity{depth}").alias("capacity")).withColumn("w", _weight(weights.get(path[-1], {}), path[-1]))
         children = children.join(parent, path[:-1]) if depth > 1 else children.crossJoin(F.broadcast(parent))  # one row
         order = (Window.partitionBy(*path[:-1]) if depth > 1 else whole).orderBy(F.col("capacity") / F.col("w"), path[-1])
         before = F.coalesce(F.sum("capacity").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -83,14 +85,14 @@ def mix(docs: DataFrame, levels: list[str], weights: dict[str, dict[str, int]],
 def mix_sql(docs_sql: str, levels: list[str], weights: dict[str, dict[str, int]], target_sql: str, id_col: str = "doc_id", max_epochs: int = 4, seed: int = 17) -> str:
     """The same choice as one DuckDB query over ``docs_sql`` (id, levels, text)."""
     ctes = [f"""rows_ AS (SELECT * FROM (SELECT {id_col} AS id, {", ".join(f"coalesce({c}, chr(0)) AS {c}" for c in levels)}, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS n_tokens FROM ({docs_sql}) AS d) AS r WHERE n_tokens > 0)""", f"leaves AS (SELECT {', '.join(levels)}, sum(n_tokens)::BIGINT AS available FROM rows_ GROUP BY ALL)"]
+    weight = {c: f"(CASE{''.join(f' WHEN {c} = {chr(39)}{v}{chr(39)} THEN {w}' for v, w in weights[c].items())} ELSE 1 END)::BIGINT" if weights.get(c) else "1::BIGINT" for c in levels}
+    ctes.append(f"tree AS (SELECT * FROM leaves WHERE {' AND '.join(f'{w} > 0' for w in weight.values())})")
     parent = f"(SELECT ({target_sql})::BIGINT AS budget FROM (SELECT sum(available)::BIGINT AS total FROM leaves) AS t)"
     for depth in range(1, len(levels) + 1):
         path, up = levels[:depth], levels[: depth - 1]
-        case = "".join(f" WHEN {path[-1]} = '{v}' THEN {w}" for v, w in weights.get(path[-1], {}).items())
-        w = f"(CASE{case} ELSE 1 END)::BIGINT" if case else "1::BIGINT"
         part = f"PARTITION BY {', '.join(up)} " if up else ""
         join = f"JOIN b{depth - 1} USING ({', '.join(up)})" if up else f"CROSS JOIN {parent} AS p"
-        ctes.append(f"c{depth} AS (SELECT * FROM (SELECT {', '.join(path)}, (sum(available) * {max_epochs})::BIGINT AS capacity, {w} AS w FROM leaves GROUP BY {', '.join(path)}) AS x {join} WHERE w > 0)")
+        ctes.append(f"c{depth} AS (SELECT * FROM (SELECT {', '.join(path)}, (sum(available) * {max_epochs})::BIGINT AS capacity, {weight[path[-1]]} AS w FROM tree GROUP BY {', '.join(path)}) AS x {join})")
         ctes.append(f"l{depth} AS (SELECT *, (budget - coalesce(sum(capacity) OVER ({part}ORDER BY capacity::DOUBLE / w::DOUBLE, {path[-1]} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE / (sum(w) OVER ({part}ORDER BY capacity::DOUBLE / w::DOUBLE, {path[-1]} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS line FROM c{depth})")
         ctes.append(f"b{depth} AS (SELECT {', '.join(path)}, floor(least(capacity::DOUBLE, greatest(0.0::DOUBLE, w::DOUBLE * max(line) OVER ({part}))))::BIGINT AS budget FROM l{depth})")
     last = f"b{len(levels)}"

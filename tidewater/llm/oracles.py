@@ -31,14 +31,14 @@ DECONTAMINATION = f"""WITH {_ROWS}, w AS MATERIALIZED (SELECT rid, doc_id, regex
   SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
   FROM w LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid)"""
 
-QUALITY_RULES = f"""WITH {_ROWS}, w AS MATERIALIZED (SELECT *, coalesce(source, chr(0)) AS host, regexp_extract_all(text, '{_SPACE}') AS ws FROM t),
-  ls AS MATERIALIZED (SELECT rid, host, text, line, regexp_extract_all({_low('line')}, '{_SPACE}') AS lw FROM (SELECT rid, host, text, unnest(string_split(text, chr(10))) AS line FROM w)),
+QUALITY_RULES = f"""WITH {_ROWS}, w AS MATERIALIZED (SELECT *, coalesce(source, chr(0)) AS host, coalesce('i' || doc_id, 't' || text) AS doc, regexp_extract_all(text, '{_SPACE}') AS ws FROM t),
+  ls AS MATERIALIZED (SELECT rid, host, doc, line, regexp_extract_all({_low('line')}, '{_SPACE}') AS lw FROM (SELECT rid, host, doc, unnest(string_split(text, chr(10))) AS line FROM w)),
   dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM ls WHERE len(lw) > 0 GROUP BY rid),
   win AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, k) AS c FROM (SELECT rid, i, array_to_string(ws[i : i + 7], ' ') AS k FROM (SELECT rid, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8))),
   rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 8)) AS p FROM win WHERE c > 1) GROUP BY rid),
-  held AS (SELECT host, array_to_string(lw, ' ') AS k, count(DISTINCT text) AS texts FROM ls WHERE len(lw) > 0 GROUP BY ALL),
-  hosts AS (SELECT host, count(DISTINCT text) AS of_ FROM w GROUP BY host),
-  over_ AS MATERIALIZED (SELECT host, k FROM held JOIN hosts USING (host) WHERE texts > greatest(10, of_ * 0.1::DOUBLE)),
+  held AS (SELECT host, array_to_string(lw, ' ') AS k, count(DISTINCT doc) AS docs FROM ls WHERE len(lw) > 0 GROUP BY ALL),
+  hosts AS (SELECT host, count(DISTINCT doc) AS of_ FROM w GROUP BY host),
+  over_ AS MATERIALIZED (SELECT host, k FROM held JOIN hosts USING (host) WHERE docs > least(10, greatest(2, of_ * 0.5::DOUBLE))),
   lost AS (SELECT rid, sum(len(lw)) AS n FROM ls JOIN over_ ON over_.host = ls.host AND over_.k = array_to_string(lw, ' ') WHERE len(lw) > 0 GROUP BY rid),
   s AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
     coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_line_words FROM w LEFT JOIN dup USING (rid) LEFT JOIN rep USING (rid) LEFT JOIN lost USING (rid))

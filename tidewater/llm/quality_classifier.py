@@ -33,7 +33,8 @@ _CLASSES = {"upper": _bytes(range(0x41, 0x5B)), "lower": _bytes(range(0x61, 0x7B
 def statistics(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """A row of numbers for each text; an empty text has zeros."""
     rows = off.size - 1
-    stats, (line_row, _, line_words, _) = text_statistics(data, off)
+    stats, of_lines = text_statistics(data, off)
+    line_row, line_words = of_lines["row"], of_lines["to"] - of_lines["from"]
     starts, ends, first = k.words(data, off)
     n = np.maximum(stats["n_words"], 1)
     size = np.maximum(np.diff(off), 1)

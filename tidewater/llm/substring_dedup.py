@@ -1,52 +1,72 @@
 """Substring deduplication of words by super-k-mer partitioning.
 
 Consecutive windows of ``width`` words that share a minimiser travel as one packed string to the minimiser's bucket
-(see ``repeats``); there the windows are sorted and equal neighbours counted, word for word.
+(see ``repeats``); there the windows are sorted, as offsets into one buffer, and equal neighbours counted, byte for byte.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as k
-from .repeats import HOT_BYTES, SHARD_BYTES, Words, marks, repeated_runs, text_names
+from .repeats import SHARD_BYTES, Words, marks, repeated_runs, text_names
 from .shared import by_batch
 
-_SPACE = re.compile(rb" ")
-
-
 class SortedWords(Words):
-    def judge(self, bodies, sizes):
-        windows, owner = [], []
-        for i, (body, n) in enumerate(zip(bodies, sizes.tolist(), strict=True)):
-            gaps = [m.start() for m in _SPACE.finditer(body)]
-            begins, ends = [0, *(g + 1 for g in gaps)], [*gaps, len(body)]
-            windows += [body[begins[j] : ends[j + self.width - 1]] for j in range(n)]
-            owner += [(i, j) for j in range(n)]
-        flags = [np.zeros(n, bool) for n in sizes.tolist()]
-        order = sorted(range(len(windows)), key=windows.__getitem__)
-        for x, y in zip(order[:-1], order[1:], strict=True):
-            if windows[x] == windows[y]:
-                for i, j in (owner[x], owner[y]):
-                    flags[i][j] = True
-        return flags
+    def judge(self, text, starts, sizes, disk):
+        first = np.cumsum(sizes) - sizes
+        flags = disk.array(int(sizes.sum()), np.bool_)
+        begin, end, key, number = disk.spool(np.int64), disk.spool(np.int64), disk.spool(np.uint64), disk.spool(np.int64)
+        ends = np.append(starts[1:], text.size)
+        i = 0
+        while i < sizes.size:  # a stretch of segments at a time
+            j = max(i + 1, int(np.searchsorted(ends, starts[i] + k.CHUNK_BYTES, side="right")))
+            off = np.append(starts[i:j], ends[j - 1]) - starts[i]
+            values, _, head, a, b = self.read(np.asarray(text[starts[i] : ends[j - 1]]), off)
+            n = sizes[i:j]
+            at = np.repeat(head[:-1] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            begin.add(a[at] + starts[i])
+            end.add(b[at + self.width - 1] + starts[i])
+            key.add(k.window_hash(values, self.width)[at])
+            number.add(np.repeat(first[i:j] - (np.cumsum(n) - n), n) + np.arange(n.sum()))
+            i = j
+        begin, end, key, number = (x.array() for x in (begin, end, key, number))
+        rounds = max(1, -(-key.size // disk.budget))
+        for part in range(rounds):  # as many windows at a time as memory holds; equal ones have equal keys
+            chosen = np.concatenate([np.flatnonzero(key[x : x + disk.budget] % np.uint64(rounds) == part) + x for x in range(0, key.size, disk.budget)] or [np.empty(0, np.int64)])
+            chosen = chosen[np.argsort(key[chosen], kind="stable")]
+            same = np.flatnonzero(key[chosen][1:] == key[chosen][:-1])
+            if not same.size:
+                continue
+            a, b = begin[chosen], end[chosen]
+            equal = np.array([b[x] - a[x] == b[x + 1] - a[x + 1] and bytes(text[a[x] : b[x]]) == bytes(text[a[x + 1] : b[x + 1]]) for x in same.tolist()])
+            flags[number[chosen[same[equal]]]] = True
+            flags[number[chosen[same[equal] + 1]]] = True
+            for x in np.unique(key[chosen[same[~equal]]]):  # unequal windows with one key: by their bytes alone
+                places: dict[bytes, list[int]] = {}
+                for w in chosen[key[chosen] == x].tolist():
+                    places.setdefault(bytes(text[begin[w] : end[w]]), []).append(int(number[w]))
+                for found in places.values():
+                    if len(found) > 1:
+                        flags[found] = True
+        return flags, first
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35, gram: int = 12, shard_bytes: int = SHARD_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35, gram: int = 12, shard_bytes: int = SHARD_BYTES, memory: int = 1 << 20) -> DataFrame:
     """Texts without the words of any ``width``-word sequence that starts in two places of the corpus.
 
     A word is a run of bytes without ASCII white space, taken unchanged. Returns a row for each row of ``docs``: its id, n_words, n_removed,
     kept (the remaining words joined by one space) and kept_sha256. Every place counts, the first one and places in the
     same text too; windows are judged on the input. Null and empty texts have no words; texts under ``width`` words lose none; a repeated row
-    repeats all its windows; other columns are ignored.
+    repeats all its windows, whatever its id; null ids stay null; very long texts are read whole; an empty table gives an empty one; other columns are
+    ignored, whatever their names. A task judges about ``shard_bytes`` of packed windows and sorts ``memory`` windows at a time; beyond, its arrays lie in files.
     """
     source = docs.select(F.col(id_col).alias("id"), *text_names(F.col(text_col).cast("string")), F.col(text_col).cast("string").alias("text"))
-    runs = repeated_runs(source.select("t1", "t2", "text"), SortedWords(width, min(gram, width)), shard_bytes, hot_bytes)
+    runs = repeated_runs(source.select("t1", "t2", "text"), SortedWords(width, min(gram, width), memory), shard_bytes)
     joined = source.join(runs, ["t1", "t2"], "left").select("id", "text", "runs")
 
     def run(batch):

@@ -14,41 +14,48 @@ from pyspark.sql import functions as F
 
 from . import induced
 from . import kernels as k
-from .repeats import HOT_BYTES, SHARD_BYTES, Bytes, marks, repeated_runs, text_names
+from .repeats import SHARD_BYTES, Bytes, marks, repeated_runs, text_names
 from .shared import by_batch
 
 
 class SuffixBytes(Bytes):
-    #: Symbols of a shard held in memory; beyond, arrays and queues lie on disk.
-    budget = 1 << 24
-
-    def judge(self, bodies, sizes):
-        lengths = np.array([len(b) + 1 for b in bodies])
-        text = np.frombuffer(b"\xfe".join(bodies), np.uint8) + np.uint8(1)  # 0xFE is in no UTF-8 text
-        starts = np.cumsum(lengths) - lengths
-        flags = np.zeros(text.size + 1, bool)
-        window = np.zeros(text.size + 1, np.int8)
-        np.add.at(window, starts, 1)
-        np.add.at(window, starts + sizes, -1)
-        window = np.cumsum(window, dtype=np.int8) > 0
-        for group in induced.repeats(text, self.width, self.budget):
-            group = group[group < text.size]
-            group = group[window[group]]
-            if group.size > 1:
-                flags[group] = True
-        return [flags[a : a + n] for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
-
-
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, gram: int = 64, shard_bytes: int = SHARD_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
+    separator = b"\xfe"  # in no UTF-8 text
+
+    def judge(self, text, starts, sizes, disk):
+        symbols = disk.array(text.size, np.uint8)
+        window = disk.array(text.size, np.bool_)  # places where a window starts
+        for a in range(0, text.size, k.CHUNK_BYTES):
+            symbols[a : a + k.CHUNK_BYTES] = text[a : a + k.CHUNK_BYTES] + np.uint8(1)
+        for a in range(0, sizes.size, 10_000):
+            n = sizes[a : a + 10_000]
+            window[np.repeat(starts[a : a + 10_000] - (np.cumsum(n) - n), n) + np.arange(n.sum())] = True
+        flags = disk.array(text.size, np.bool_)
+        for group in induced.repeats(symbols, self.width, disk):
+            held = 0
+            for part in group:
+                part = part[part < text.size]
+                part = part[window[part]]
+                if held + part.size > 1:
+                    flags[part] = True
+                    if held == 1:
+                        flags[first] = True
+                if not held and part.size:
+                    first = part[0]
+                held += part.size
+        return flags, starts
+
+
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, gram: int = 64, shard_bytes: int = SHARD_BYTES, memory: int = 1 << 20) -> DataFrame:
     """Texts without the bytes of any ``width``-byte string that starts in two places of the corpus.
 
     Returns a row for each row of ``docs``: its id, n_bytes, n_removed, removed (runs: start, end), kept (the remaining bytes; they may
     cut a code point) and kept_sha256. Every place counts, the first one and places in the same text too; strings are judged on
-    the input. Null and empty texts have no bytes; texts under ``width`` bytes lose none; a repeated row repeats all its strings; other columns
-    are ignored.
+    the input. Null and empty texts have no bytes; texts under ``width`` bytes lose none; a repeated row repeats all its strings, whatever its id; null
+    ids stay null; very long texts are read whole; an empty table gives an empty one; other columns are ignored, whatever their names. A task sorts about
+    ``shard_bytes`` of packed segments, with arrays and queues of over ``memory`` items on disk.
     """
     source = docs.select(F.col(id_col).alias("id"), *text_names(F.col(text_col).cast("string")), F.col(text_col).cast("string").alias("text"))
-    runs = repeated_runs(source.select("t1", "t2", "text"), SuffixBytes(width, min(gram, width)), shard_bytes, hot_bytes)
+    runs = repeated_runs(source.select("t1", "t2", "text"), SuffixBytes(width, min(gram, width), memory), shard_bytes)
     joined = source.join(runs, ["t1", "t2"], "left").select("id", "text", "runs")
 
     def run(batch):
