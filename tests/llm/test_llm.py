@@ -10,11 +10,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.llm import induced, language_id, mixing, oracles, quality_classifier, secrets, toxicity
+from tidewater.llm import induced, jaccard_join, language_id, mixing, oracles, quality_classifier, secrets, toxicity
 from tidewater.llm.components import components
 from tidewater.llm.decontamination import PatternClass, decontaminate
 from tidewater.llm.jaccard_join import jaccard_components
 from tidewater.llm.quality_rules import quality_rules
+from tidewater.llm.repeats import Disk
 from tidewater.llm.substring_dedup import substring_dedup
 from tidewater.llm.suffix_dedup import suffix_dedup
 
@@ -56,7 +57,7 @@ def texts():
     return corpus()
 
 
-@pytest.mark.parametrize("sizes", [{}, {"shard_bytes": 4096, "hot_bytes": 600}])
+@pytest.mark.parametrize("sizes", [{}, {"shard_bytes": 150, "memory": 64}])
 def test_suffix_dedup(spark, texts, sizes):
     width = 40
     data = [(t or "").encode() for t in texts]
@@ -73,7 +74,7 @@ def test_suffix_dedup(spark, texts, sizes):
         assert [(s.start, s.end) for s in r.removed] == [m.span() for m in re.finditer(b"\1+", bytes(cut))]
 
 
-@pytest.mark.parametrize("sizes", [{}, {"shard_bytes": 4096, "hot_bytes": 600}])
+@pytest.mark.parametrize("sizes", [{}, {"shard_bytes": 150, "memory": 64}])
 def test_substring_dedup(spark, texts, sizes):
     width = 9
     words = [re.findall(SPACE, t or "") for t in texts]
@@ -163,20 +164,21 @@ def test_pattern_search_finds_every_place():
         assert got == sorted((i, p) for p in patterns for i in range(len(text)) if text.startswith(p, i))
 
 
-@pytest.mark.parametrize("budget, base", [(1 << 20, 1 << 20), (160, 1 << 20), (160, 4)])
+@pytest.mark.parametrize("budget, base", [(1 << 20, 1 << 20), (40, 1 << 20), (16, 4)])
 def test_induced_sorting(tmp_path, budget, base):
     rng = np.random.default_rng(1)
     for k in range(12):
         t = rng.integers(1, k % 5 + 2, int(rng.integers(1, 150))).astype(np.uint8)
         t = np.concatenate([t, t[: t.size // 2], t]) if k % 3 == 0 else t
         b = t.tobytes()
-        order = np.concatenate([p for p, _ in induced.InducedSorter(t, str(tmp_path), budget, base).ordered(1000)])[::-1]
+        order = np.concatenate([p for p, _ in induced.InducedSorter(t, Disk(str(tmp_path), budget), base).ordered(1000)])[::-1]
         assert order.tolist() == sorted(range(len(b) + 1), key=lambda i: b[i:])
         for width in (1, 3):
             places = defaultdict(list)
             for i in range(len(b) - width + 1):
                 places[b[i : i + width]].append(i)
-            assert sorted(sorted(g.tolist()) for g in induced.repeats(t, width, budget, base)) == sorted(v for v in places.values() if len(v) > 1)
+            got = [sorted(np.concatenate(list(g)).tolist()) for g in induced.repeats(t, width, Disk(str(tmp_path), budget), base)]
+            assert sorted(g for g in got if len(g) > 1) == sorted(v for v in places.values() if len(v) > 1)
 
 
 def secrets_of(t):
@@ -230,10 +232,74 @@ def test_boilerplate_lines_deplete(spark):
     line = " ".join(f"b{i}" for i in range(40))
     own = [" ".join(f"q{rng.randrange(10**6)}" for _ in range(60)) for _ in range(40)]
     texts = [f"{line}\n{t}" for t in own[:20]] + own[20:] + [f"{line.upper()}\n{i}" for i in range(3)] + [own[0]] * 30
-    got = rows_of(quality_rules(table(spark, texts), line_min=5, line_share=0.1))
+    got = rows_of(quality_rules(table(spark, texts, ids=[*range(43), *[43] * 30]), line_most=5))
     assert all(got[i][0].kept and got[i][0].n_line_words == 40 for i in range(20))
     assert not any(got[i][0].kept for i in range(40, 43)), "only boilerplate is left"
-    assert all(got[i][0].kept for i in range(43, 73)), "exact copies count once"
+    assert len(got[43]) == 30 and all(r.kept for r in got[43]), "repeated rows are one document"
+
+
+def test_documents_of_one_line_are_depleted(spark):
+    line = " ".join(f"b{i}" for i in range(40))
+    got = quality_rules(table(spark, [line] * 200)).collect()
+    assert all(r.n_line_words == 40 and not r.kept and not r.base_failed for r in got), "copies of other ids are documents of their own"
+    alone = quality_rules(table(spark, [line] * 200, ids=[None] * 200)).collect()
+    assert all(r.n_line_words == 0 and r.kept for r in alone), "documents of null id are told apart by text"
+
+
+def parity(n=10):
+    """Two texts whose polynomial hashes modulo 2**64 agree for every odd base."""
+    text = "a"
+    for _ in range(n):
+        text += text.translate(str.maketrans("ab", "ba"))
+    return text, text.translate(str.maketrans("ab", "ba"))
+
+
+def test_parity_sequences_are_told_apart(spark):
+    x, y = parity()
+    got = rows_of(jaccard_components(table(spark, [x, y, x])))
+    assert [got[i][0].component_id for i in range(3)] == [0, 1, 0]
+    got = rows_of(quality_rules(table(spark, [f"{x}\n{y}", f"{x}\n{y}\n{x}"])))
+    assert [got[i][0].n_dup_lines for i in range(2)] == [0, 1]
+    words = [" ".join(t) for t in parity(11)]
+    got = rows_of(suffix_dedup(table(spark, words), width=3000, gram=64))
+    assert [got[i][0].n_removed for i in range(2)] == [0, 0]
+    got = rows_of(substring_dedup(table(spark, words), width=1500, gram=12))
+    assert [got[i][0].n_removed for i in range(2)] == [0, 0]
+
+
+@pytest.mark.parametrize("bits", [2, 6])
+def test_clashing_names_of_sets(spark, texts, bits):
+    want = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(table(spark, texts)).collect())
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(table(spark, texts), name_bits=bits).collect()) == want
+
+
+def test_keys_of_linked_sets_meet():
+    rng = np.random.default_rng(3)
+    tried = 0
+    while tried < 1500:
+        percent, n = int(rng.choice([60, 80, 90])), int(rng.choice([1, 2, 3, 5, 8, 12, 20, 40, 100]))
+        x = rng.integers(0, 2**63, n).astype(np.uint64)
+        y = np.concatenate([x[int(rng.integers(0, n // 3 + 1)) :], rng.integers(0, 2**63, int(rng.integers(0, n // 3 + 1))).astype(np.uint64)])
+        both = np.intersect1d(x, y).size
+        if y.size and 100 * both >= percent * (x.size + y.size - both):
+            keys = [{int(h) for q in jaccard_join._size_classes(s.size, percent) for h in jaccard_join.class_keys(s, q, percent)} for s in (x, y)]
+            assert keys[0] & keys[1]
+            tried += 1
+
+
+def test_unlinked_sets_with_frequent_tokens_make_few_pairs(spark, monkeypatch):
+    """400 texts of 60 passages each out of 120: every token is frequent and hardly any pair links."""
+    rng = random.Random(11)
+    passages = [" ".join(f"p{i}w{j}" for j in range(6)) for i in range(120)]
+    texts = [" ".join(rng.sample(passages, 60)) for _ in range(400)]
+    seen = []
+    add = jaccard_join._Links.add
+    monkeypatch.setattr(jaccard_join._Links, "add", lambda self, pairs: (seen.append(pairs.count()), add(self, pairs)))
+    got = {r.doc_id: r.component_id for r in jaccard_components(table(spark, texts), size=1, percent=80, rare=16).collect()}
+    sets = [set(t.split()) for t in texts]
+    linked = [(i, j) for i in range(400) for j in range(i) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+    assert not linked and all(i == c for i, c in got.items())
+    assert sum(seen) <= 2 * len(texts), f"{seen} of {400 * 399 // 2} pairs"
 
 
 @pytest.mark.parametrize("size, holders", [(600, 12), (8, 6), (3, 3)])
@@ -351,6 +417,21 @@ def test_mixing_follows_weights(spark):
     assert {r.copies for r in scarce} == {3} and len(scarce) == 900, "all capacity is used when the target is beyond it"
 
 
+def test_leaves_left_out_hold_nothing(spark):
+    duckdb = pytest.importorskip("duckdb")
+    leaves = [("a", "x", 20), ("a", "z", 980), ("b", "y", 1000)]
+    weights = {"s": {"z": 0}}
+    got = mixing.budgets(spark.createDataFrame(leaves, "d string, s string, available long"), ["d", "s"], weights, F.expr("500L"), 1)
+    assert {(r.d, r.s): r.budget for r in got.collect()} == {("a", "x"): 20, ("b", "y"): 480}
+    docs = spark.createDataFrame([(i, d, s, "w " * 10) for i, (d, s, n) in enumerate((d, s, n) for d, s, n in leaves for _ in range(n // 10))], "doc_id long, d string, s string, text string")
+    chosen = sorted((r.doc_id, r.copies) for r in mixing.mix(docs, ["d", "s"], weights, F.expr("500L"), max_epochs=1).collect())
+    assert sum(1 for i, _ in chosen if i >= 100) == 48 and sum(1 for i, _ in chosen if i < 2) == 2 and len(chosen) == 50
+    con = duckdb.connect()
+    con.register("docs", docs.toArrow())
+    sql = mixing.mix_sql("SELECT * FROM docs", ["d", "s"], weights, "500", max_epochs=1)
+    assert sorted(con.execute(f"SELECT doc_id, copies FROM ({sql})").fetchall()) == chosen
+
+
 def test_shortage_goes_to_siblings_first(spark):
     leaves = [("a", "x", 10), ("a", "y", 1000), ("b", "z", 1000)]
     got = mixing.budgets(spark.createDataFrame(leaves, "d string, s string, available long"), ["d", "s"], {}, F.expr("1000L"), 1)

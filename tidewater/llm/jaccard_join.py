@@ -2,18 +2,21 @@
 
 Tokens (hashed word shingles) have one order: by frequency class, from a count sketch of fixed size, then by hash. Two
 sets that link share a token among the first n - ceil(t n) + 1 of each (the prefix). A token that few sets index pairs its
-sets by itself. Sets with a frequent token in their prefix extend it: with G more tokens they share G + 1, so of G token
-classes (by hash) one holds two of them; frequent tokens are indexed as 2-token combinations within a class, rare
-ones singly.
+sets by itself. A set with a frequent token in its prefix extends the prefix to all its tokens, deals them out to G classes by hash
+and indexes the combination of each class's tokens: two linked sets differ in D tokens at most, so of any D + 1 classes one
+is alike in both. G is over D + 1, and each set leaves out its smallest classes, down to the D + 1 largest, so the number k
+of tokens in a combination is as large as the set's size allows and no list holds more than sets with these k tokens in common.
 
 Equal sets are one set. Each index list first offers its sets to one pivot, the set that shares most; verified links are
-joined to components, and only pairs of a list that lie in different components are looked at again. Sizes and a short parity
-signature (a lower bound of the difference) rule pairs out within lists, a signature with a bit or more for each token rules
-out pairs of long sets; what is left is verified token by token.
+joined to components, and only pairs of a list that lie in different components are looked at again, a growing number of
+outsiders in each round. Sizes and a parity signature with two bits or more for each token (a lower bound of the difference) rule pairs
+out; what is left is verified token by token.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,12 +31,15 @@ _CELLS = 1 << 20
 _CHUNK = 1 << 16
 #: Sets that index a token singly at most; tokens with more are frequent.
 RARE = 64
-#: Sets of a list that are offered to all others in a round, about.
-OFFERED = 256
+#: Outsiders of a list that are offered to all others in the first round, about; eight times as many in each further one.
+OFFERED = 16
 #: Names of texts that are broadcast at most, 16 bytes each.
 FEW = 1 << 18
-_SIGNATURE = [f"g{i}" for i in range(4)]
+#: Names that a task remembers, so as not to send copies again; beyond, copies travel twice.
+_SEEN = 1 << 16
 _RATIO = 1.25
+#: Ways to deal a set's tokens out to classes.
+_DEALS = 4
 
 
 def _token_sets(data: np.ndarray, off: np.ndarray, size: int) -> list[np.ndarray]:
@@ -41,48 +47,47 @@ def _token_sets(data: np.ndarray, off: np.ndarray, size: int) -> list[np.ndarray
     return k.shingles(k.range_hash(k.prefix_hash(k.LOWER[data]), starts, ends), first, size)
 
 
-def _set_name(tokens: np.ndarray) -> int:
-    running = k.value_prefix_hash(tokens)
-    return int(k.range_hash(running, np.array([0]), np.array([tokens.size])).view(np.int64)[0])
+def _names(sets: list[np.ndarray], clashes: frozenset[int] = frozenset(), bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent names of each set. Sets of different second names may clash in the first: then both names make the first one."""
+    sizes = np.array([x.size for x in sets], np.int64)
+    ends = np.cumsum(sizes)
+    whole, out = np.concatenate(sets), []
+    for salt in (np.uint64(0x9E6C63D0676A9A99), np.uint64(0x5851F42D4C957F2D)):
+        running = np.zeros(whole.size + 1, np.uint64)
+        np.cumsum(k.mix(whole ^ salt), out=running[1:])
+        out.append(k.mix((running[ends] - running[ends - sizes]) ^ k.mix(sizes.astype(np.uint64) + salt)).view(np.int64))
+    first, second = out
+    if bits < 64:
+        first = first & ((1 << bits) - 1)
+    if clashes:
+        first = np.where(np.isin(first, np.fromiter(clashes, np.int64)), first ^ second, first)
+    return first, second
 
 
 def _signature(tokens: np.ndarray) -> np.ndarray:
-    return np.packbits((np.bincount((tokens >> np.uint64(7)).astype(np.int64) & 255, minlength=256) & 1).astype(np.uint8)).view(np.int64)
-
-
-def _long_signature(tokens: np.ndarray) -> bytes:
-    """Parity of the tokens by bit, a power of two of bits, at least one for each token; equal tokens of two sets cancel out."""
-    bits = 1 << max(8, int(tokens.size).bit_length())
-    return np.packbits((np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
-
-
-def _least_difference(a: bytes, b: bytes) -> int:
-    """How many tokens two sets differ in at least: the longer signature is folded down to the shorter."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    while x.size > y.size:
-        x = x[: x.size // 2] ^ x[x.size // 2 :]
-    while y.size > x.size:
-        y = y[: y.size // 2] ^ y[y.size // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+    """Parity of the tokens by bit, a power of two of bits, at least two for each token; equal tokens of two sets cancel out."""
+    bits = 1 << max(8, int(tokens.size).bit_length() + 1)
+    return np.packbits((np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
 
-def _described(source: DataFrame, size: int) -> DataFrame:
-    """For each row: id, t1, t2, n, s (the set's name) and signature; besides, each task's token counts by sketch cell."""
+def _described(source: DataFrame, size: int, bits: int) -> DataFrame:
+    """For each row: id, t1, t2, n, s and s2 (the set's names) and signature; besides, each task's token counts by sketch cell."""
     kind = source.schema[0].dataType.simpleString()
-    head = f"id {kind}, t1 long, t2 long, n long, s long, " + ", ".join(f"{g} long" for g in _SIGNATURE) + ", sign binary, chunk int, cells binary"
+    head = f"id {kind}, t1 long, t2 long, n long, s long, s2 long, sign array<long>, chunk int, cells binary"
 
     def run(batches):
         cells, target = np.zeros(_CELLS, np.uint32), None
         for batch in batches:
             if target is None:
-                target = pa.schema([("id", batch.schema[0].type), *((x, pa.int64()) for x in ("t1", "t2", "n", "s", *_SIGNATURE)), ("sign", pa.binary()), ("chunk", pa.int32()), ("cells", pa.binary())])
+                target = pa.schema([("id", batch.schema[0].type), *((x, pa.int64()) for x in ("t1", "t2", "n", "s", "s2")), ("sign", pa.list_(pa.int64())), ("chunk", pa.int32()), ("cells", pa.binary())])
             for a, b, data, off in k.string_slices(batch.column(3)):
                 sets = _token_sets(data, off, size)
-                whole = np.concatenate(sets)
-                cells += np.bincount((whole >> np.uint64(44)).astype(np.int64), minlength=_CELLS).astype(np.uint32)
-                signs = np.stack([_signature(x) for x in sets])
+                cells += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=_CELLS).astype(np.uint32)
+                s, s2 = _names(sets, bits=bits)
+                signs = [_signature(x) if x.size else np.empty(0, np.int64) for x in sets]
+                edges = np.concatenate([[0], np.cumsum([x.size for x in signs])]).astype(np.int32)
                 arrays = [batch.column(i).slice(a, b - a) for i in range(3)]
-                arrays += [pa.array([x.size for x in sets], pa.int64()), pa.array([_set_name(x) if x.size else 0 for x in sets], pa.int64()), *(pa.array(signs[:, i]) for i in range(4)), pa.array([_long_signature(x) if x.size else None for x in sets], pa.binary())]
+                arrays += [pa.array([x.size for x in sets], pa.int64()), pa.array(s), pa.array(s2), pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(signs)))]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary())], schema=target)
         if target is not None:
             for i in range(_CELLS // _CHUNK):
@@ -111,50 +116,61 @@ def _classes(described: DataFrame) -> np.ndarray:
     return np.log2(np.maximum(cells - floor - 3 * np.sqrt(floor), 0) + 1).astype(np.uint8)
 
 
-def _ordered(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    return tokens[np.lexsort((tokens, classes[(tokens >> np.uint64(44)).astype(np.int64)]))]
-
-
 def _least_overlap(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
-def _prefixes(source: DataFrame, model, size: int, percent: int) -> DataFrame:
+@dataclass(frozen=True)
+class _Model:
+    """What every task needs to read sets from texts."""
+
+    size: int
+    percent: int
+    bits: int
+    classes: np.ndarray
+    clashes: frozenset[int]
+
+    def names(self, sets: list[np.ndarray]) -> np.ndarray:
+        return _names(sets, self.clashes, self.bits)[0]
+
+    def ordered(self, tokens: np.ndarray) -> np.ndarray:
+        return tokens[np.lexsort((tokens, self.classes[(tokens >> np.uint64(44)).astype(np.int64)]))]
+
+
+def _prefixes(source: DataFrame, model) -> DataFrame:
     """(token, s) for the prefix of each row's set."""
 
     def run(batch):
-        classes = model.value
+        m = model.value
         for _, _, data, off in k.string_slices(batch.column(0)):
-            tokens, names = [], []
-            for x in _token_sets(data, off, size):
-                if x.size:
-                    name = _set_name(x)
-                    head = _ordered(x, classes)[: x.size - _least_overlap(x.size, percent) + 1]
-                    tokens.append(head)
-                    names.append(np.full(head.size, name))
-            if tokens:
-                yield {"token": np.concatenate(tokens).view(np.int64), "s": np.concatenate(names)}
+            sets = [x for x in _token_sets(data, off, m.size) if x.size]
+            if sets:
+                heads = [m.ordered(x)[: x.size - _least_overlap(x.size, m.percent) + 1] for x in sets]
+                yield {"token": np.concatenate(heads).view(np.int64), "s": np.repeat(m.names(sets), [x.size for x in heads])}
 
     return by_batch(source.select("text"), "token long, s long", run)
 
 
-def _bodies(source: DataFrame, wanted: DataFrame, model, size: int) -> DataFrame:
-    """(s, tokens: the set in order, 8 bytes each) of the sets whose texts are ``wanted`` (t1, t2).
+def _bodies(source: DataFrame, wanted: DataFrame, model) -> DataFrame:
+    """(s, tokens: 8 bytes each) of the sets whose texts are ``wanted`` (t1, t2).
 
     Few names are broadcast, up to ``FEW`` by count; beyond that texts and names are dealt out by name.
     """
 
     def run(batches):
+        m = model.value
         seen: set[int] = set()
         for batch in batches:
             for _, _, data, off in k.string_slices(batch.column(0)):
+                sets = [x for x in _token_sets(data, off, m.size) if x.size]
                 names, bodies = [], []
-                for x in _token_sets(data, off, size):
-                    name = _set_name(x) if x.size else None
-                    if name is not None and name not in seen:
+                for name, x in zip(m.names(sets).tolist() if sets else (), sets, strict=True):
+                    if name not in seen:
+                        if len(seen) >= _SEEN:
+                            seen.clear()
                         seen.add(name)
                         names.append(name)
-                        bodies.append(_ordered(x, model.value).tobytes())
+                        bodies.append(x.tobytes())
                 if names:
                     yield pa.RecordBatch.from_pydict({"s": pa.array(names, pa.int64()), "tokens": pa.array(bodies, pa.binary())})
 
@@ -165,57 +181,70 @@ def _bodies(source: DataFrame, wanted: DataFrame, model, size: int) -> DataFrame
 
 
 def _size_classes(n: int, percent: int) -> range:
-    """Size classes of the sets that a set of n tokens may link with, its own among them."""
-    low = int(np.floor(np.log(max(1, _least_overlap(n, percent))) / np.log(_RATIO)))
-    high = int(np.floor(np.log(max(1, n * 100 // percent)) / np.log(_RATIO)))
-    return range(low, high + 1)
+    """Size classes in which a set of n tokens meets others: those of the larger set of a pair, its own first."""
+    return range(int(np.log(n) / np.log(_RATIO)), int(np.log(n * 100 // percent) / np.log(_RATIO)) + 1)
 
 
-def _combinations(bodies: DataFrame, percent: int, rare: int) -> DataFrame:
-    """(key, s): index lists of the extended prefixes: rare tokens singly, frequent ones as 2-token combinations within a class."""
+def class_keys(tokens: np.ndarray, q: int, percent: int) -> np.ndarray:
+    """Keys of a set among sets of size class q: the token combinations of its larger classes.
+
+    Two sets of the class that link share a key: with D different tokens at most, one of a set's D + 1 or more classes of at least k tokens is alike
+    in both, and that set of the two whose k is larger has one that the other indexes too. Where too many classes are empty (small
+    sets) the tokens are dealt out again by another hash, at last with empty classes as keys.
+    """
+    largest = int(_RATIO ** (q + 1)) + 1
+    apart = 2 * largest * (100 - percent) // (100 + percent)
+    groups = (apart + 1) * 4 // 3 + 1 if apart else 1
+    apart = (tokens.size + largest) * (100 - percent) // (100 + percent)  # of this set from any other
+    out = []
+    for deal in range(_DEALS):
+        salt = np.uint64((q * _DEALS + deal + 1) * 0x9E3779B97F4A7C15 % 2**64)
+        spread = k.mix(tokens ^ salt)
+        part = (spread % np.uint64(groups)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        sizes = np.bincount(part, minlength=groups)
+        running = np.zeros(tokens.size + 1, np.uint64)
+        np.cumsum(k.mix(spread[order]), out=running[1:])
+        ends = np.cumsum(sizes)
+        combined = running[ends] - running[ends - sizes]
+        least = int(np.sort(sizes)[groups - 1 - apart])
+        last = least > 0 or deal == _DEALS - 1
+        chosen = np.flatnonzero(sizes >= (least if last else 1))
+        out.append(k.mix(combined[chosen] ^ k.mix(salt + chosen.astype(np.uint64))))
+        if last:
+            break
+    return np.concatenate(out)
+
+
+def _combinations(bodies: DataFrame, percent: int) -> DataFrame:
+    """(key, s): the index lists of sets with frequent tokens."""
 
     def run(batch):
-        names, tokens, groups, sizes = [], [], [], []
+        names, keys = [], []
         for s, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             x = np.frombuffer(body, np.uint64)
-            n = x.size
-            for q in _size_classes(n, percent):
-                more = max(1, round(_RATIO**q * (100 - percent) / 100))
-                head = x[: n - _least_overlap(n, percent) + 1 + more]
-                names.append(np.full(head.size, s))
-                tokens.append(head.view(np.int64))
-                groups.append((k.mix(head + np.uint64(q)) % np.uint64(more)).astype(np.int64))
-                sizes.append(np.full(head.size, q, np.int64))
+            for q in _size_classes(x.size, percent):
+                keys.append(class_keys(x, q, percent))
+                names.append(np.full(keys[-1].size, s))
         if names:
-            yield {"s": np.concatenate(names), "q": np.concatenate(sizes), "part": np.concatenate(groups), "token": np.concatenate(tokens)}
+            yield {"key": np.concatenate(keys).view(np.int64), "s": np.concatenate(names)}
 
-    index = written(by_batch(bodies.select("s", "tokens"), "s long, q long, part long, token long", run), "jaccard-extended")
-    df = index.groupBy("q", "token").agg(F.count("*").alias("df")).where("df > 1")
-    index = index.join(df, ["q", "token"])
-    single = index.where(F.col("df") <= rare).select(F.xxhash64("q", "token").alias("key"), "s")
-    parts = index.where(F.col("df") > rare).groupBy("s", "q", "part").agg(F.sort_array(F.collect_list("token")).alias("x"))  # a set's tokens of one class
-    pairs = F.flatten(F.transform("x", lambda a, i: F.transform(F.slice("x", i + 2, F.size("x")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    combined = parts.where(F.size("x") > 1).select("s", "q", "part", F.explode(pairs).alias("p")).select(F.xxhash64("q", "part", "p.a", "p.b").alias("key"), "s")
-    return single.unionByName(combined)
+    return by_batch(bodies.select("s", "tokens"), "key long, s long", run)
 
 
 def _may_link(a: str, b: str, percent: int) -> Column:
     """What sizes and signatures allow: the difference is at most (n + m)(100 - percent) / (100 + percent)."""
-    apart = sum((F.bit_count(F.col(f"{a}.{g}").bitwiseXOR(F.col(f"{b}.{g}"))) for g in _SIGNATURE), F.lit(0))
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (apart * (100 + percent) <= (n + m) * (100 - percent))
 
+    def even(x: str, y: str) -> Column:  # the longer signature folds down to the shorter
+        half = (F.size(x) / 2).cast("int")
+        folded = F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda u, v: u.bitwiseXOR(v))
+        return F.when(F.size(x) > F.size(y), folded).otherwise(F.col(x))
 
-def _possible(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that the long signatures do not rule out."""
-
-    def run(batch):
-        columns = [batch.column(i).to_pylist() for i in range(2, 6)]
-        ok = pa.array([_least_difference(x, y) * (100 + percent) <= (n + m) * (100 - percent) for x, y, n, m in zip(*columns, strict=True)], pa.bool_())
-        yield {"a": batch.column(0).filter(ok), "b": batch.column(1).filter(ok)}
-
-    x, y = (signs.select(F.col("s").alias(v), F.col("sign").alias(f"s{v}"), F.col("n").alias(f"n{v}")) for v in "ab")
-    return by_batch(pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb", "na", "nb"), "a long, b long", run)
+    x, y = even(f"{a}.sign", f"{b}.sign"), even(f"{b}.sign", f"{a}.sign")
+    apart = F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda acc, v: acc + v)
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    # lengths that differ by more than one fold leave a null, which rules nothing out
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.coalesce(apart, F.lit(0)) * (100 + percent) <= (n + m) * (100 - percent))
 
 
 def _verified(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
@@ -238,8 +267,8 @@ def _verified(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
 class _Links:
     """Verified links so far and their components; reads the sets that pairs need, each once."""
 
-    def __init__(self, read, signs: DataFrame, percent: int):
-        self.read, self.signs, self.percent = read, signs, percent
+    def __init__(self, read, percent: int):
+        self.read, self.percent = read, percent
         self.bodies: DataFrame | None = None
         self.labels: DataFrame | None = None
 
@@ -256,7 +285,7 @@ class _Links:
         return self.bodies
 
     def add(self, pairs: DataFrame) -> None:
-        pairs = written(_possible(pairs, self.signs, self.percent), "jaccard-pairs")
+        pairs = written(pairs, "jaccard-pairs")
         if not pairs.limit(1).count():
             return
         bodies = self.sets(pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))))
@@ -275,64 +304,67 @@ class _Links:
 
 
 def _link(lists: DataFrame, signs: DataFrame, links: _Links, percent: int, offered: int) -> DataFrame | None:
-    """Components over all linked pairs of the lists (key, s); ``signs``: s, n, signature and weight."""
-    sizes = lists.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    lists = written(lists.join(sizes, "key").join(signs, "s"), "jaccard-lists")
-    pivots = written(lists.groupBy("key").agg(F.max_by("s", "weight").alias("pivot")), "jaccard-pivots")
-    sign = signs.select(F.col("s").alias("p"), F.col("n").alias("pn"), F.col("weight").alias("pw"), *(F.col(g).alias(f"p{g}") for g in _SIGNATURE))
-    star = lists.join(pivots, "key").where("s <> pivot").select("s", F.col("pivot").alias("p")).distinct()
-    near = star.join(signs.alias("x"), "s").join(sign, "p")
-    near = near.select(F.struct("s", "n", *_SIGNATURE).alias("x"), F.struct(F.col("p").alias("s"), F.col("pn").alias("n"), *(F.col(f"p{g}").alias(g) for g in _SIGNATURE)).alias("y"), "pw")
-    near = written(near.where(_may_link("x", "y", percent)).select(F.col("x.s").alias("a"), F.col("y.s").alias("b"), "pw"), "jaccard-star")
-    links.add(near.groupBy("a").agg(F.max_by("b", "pw").alias("b")))
-    rest = links.of(links.of(near, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
-    links.add(rest)
-    done = pivots.select("key", F.col("pivot").alias("s"))
+    """Components over all linked pairs of the lists (key, s); ``signs``: s, n, sign and weight."""
+    sizes = lists.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    lists = written(lists.join(sizes, "key").join(signs.select("s", "weight"), "s"), "jaccard-lists")
+    pivots = lists.groupBy("key").agg(F.max_by("s", F.struct("weight", "s")).alias("pivot"))
+    lists = written(lists.join(pivots, "key").where("s <> pivot").select("key", "s", "pivot"), "jaccard-stars")
+    star = lists.select("s", F.col("pivot").alias("p")).distinct().join(signs.alias("x"), "s").join(signs.select(F.col("s").alias("p"), F.struct("n", "sign", "weight").alias("y")), "p")
+    star = star.select(F.col("s").alias("a"), F.col("p").alias("b"), F.struct("n", "sign").alias("x"), "y").where(_may_link("x", "y", percent))
+    near = written(star.select("a", "b", F.col("y.weight").alias("pw")), "jaccard-near")
+    links.add(near.groupBy("a").agg(F.max_by("b", F.struct("pw", "b")).alias("b")))
+    links.add(links.of(links.of(near, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b"))
     while True:
-        # outsiders of a list: sets that are neither in the pivot's component nor yet offered to the others
-        placed = links.of(lists, "s", "c")
-        home = links.of(pivots, "pivot", "home").select("key", "home")
-        outside = written(placed.join(home, "key").where("c <> home").join(done, ["key", "s"], "left_anti"), "jaccard-outside")
-        waiting = outside.groupBy("key").agg(F.count("*").alias("waiting"))
+        # outsiders of a list: sets beyond the component of its pivot that were not yet offered to the others
+        placed = links.of(links.of(lists, "s", "c"), "pivot", "home").withColumn("out", F.col("c") != F.col("home"))
+        waiting = placed.where("out").groupBy("key").agg(F.count("*").alias("waiting"))
+        lists = written(placed.join(waiting, "key"), "jaccard-outside")
+        if not lists.limit(1).count():
+            return links.labels
         chance = F.pmod(F.xxhash64("key", "s"), F.lit(1 << 20)) / (1 << 20)
-        chosen = written(outside.join(waiting, "key").where((F.col("waiting") <= offered) | (chance * F.col("waiting") < offered)), "jaccard-offered")
-        if not chosen.limit(1).count():
-            if not outside.limit(1).count():
-                return links.labels
-            chosen = outside
-        done = written(done.unionByName(chosen.select("key", "s")), "jaccard-done")
-        x, y = chosen.select("key", "s", "n", "c", *_SIGNATURE).alias("x"), placed.select("key", "s", "n", "c", *_SIGNATURE).alias("y")
-        met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & _may_link("x", "y", percent))
+        lists = lists.withColumn("now", F.col("out") & ((F.col("waiting") <= offered) | (chance * F.col("waiting") < offered)))
+        signed = lists.join(signs.select("s", "n", "sign"), "s")
+        x, y = signed.where("now").alias("x"), signed.alias("y")
+        once = ~F.col("y.now") | (F.col("x.s") < F.col("y.s"))
+        met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & once & _may_link("x", "y", percent))
         links.add(met.select(F.least("x.s", "y.s").alias("a"), F.greatest("x.s", "y.s").alias("b")).distinct())
+        lists = lists.where("not now").select("key", "s", "pivot")
+        offered *= 8
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, rare: int = RARE, offered: int = OFFERED) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, rare: int = RARE, offered: int = OFFERED, name_bits: int = 64) -> DataFrame:
     """Groups of texts whose word-shingle sets are alike.
 
     Words are runs without ASCII white space, A-Z lower-cased; a text's set has its distinct ``size``-word shingles, with fewer words the
     whole sequence as one. Two texts link when 100 * intersection >= ``percent`` * union. Returns a row for each row of ``docs``:
     its id, n_shingles and component_id, the smallest id reachable by links. Null and empty texts and texts without words have an
-    empty set, link with nothing and are their own component; equal sets link; repeated rows share a component; null ids are passed
-    over as the smallest; other columns are ignored. Tokens and sets go by 64-bit hashes.
+    empty set, link with nothing and are their own component; equal sets link; repeated rows share a component; ties in order fall by name and
+    change no result; very long texts are sets like others, held whole by one task; null ids are passed over as the smallest; an empty
+    table gives an empty one; other columns are ignored, whatever their names. Tokens go by 64-bit hashes, sets by two of them.
+    ``name_bits`` shortens the first name, for tests.
     """
     source = docs.select(F.col(id_col).alias("id"), *text_names(F.col(text_col).cast("string")), F.col(text_col).cast("string").alias("text"))
-    described = written(_described(source, size), "jaccard-sets")
-    model = docs.sparkSession.sparkContext.broadcast(_classes(described))
+    described = written(_described(source, size, name_bits), "jaccard-sets")
     rows = described.where("chunk is null").drop("chunk", "cells")
-    prefixes = _prefixes(source, model, size, percent)
+    # of 10**11 sets about 300 pairs clash by chance
+    clashes = frozenset(r.s for r in rows.where("n > 0").groupBy("s").agg(F.min("s2").alias("a"), F.max("s2").alias("b")).where("a <> b").select("s").collect())
+    if clashes:
+        rows = rows.withColumn("s", F.when(F.col("s").isin(*clashes), F.col("s").bitwiseXOR(F.col("s2"))).otherwise(F.col("s")))
+    model = docs.sparkSession.sparkContext.broadcast(_Model(size, percent, name_bits, _classes(described), clashes))
+    prefixes = _prefixes(source, model)
     shared = written(prefixes.groupBy("token").agg(F.min("s").alias("low"), F.max("s").alias("high")).where("low <> high").select("token"), "jaccard-tokens")
     held = written(prefixes.join(shared, "token").distinct(), "jaccard-prefixes")
     df = held.groupBy("token").agg(F.count("*").alias("df"))
     counted = written(held.join(df, "token"), "jaccard-counted")
-    sets = rows.where("n > 0").groupBy("s").agg(*(F.first(c).alias(c) for c in ("t1", "t2", "n", "sign", *_SIGNATURE)))
+    sets = rows.where("n > 0").groupBy("s").agg(*(F.first(c).alias(c) for c in ("t1", "t2", "n", "sign")))
     weights = counted.groupBy("s").agg(F.sum("df").alias("weight"), F.max("df").alias("most"))
     signs = written(sets.join(weights, "s"), "jaccard-signs")
-    links = _Links(lambda names: _bodies(source, signs.join(names, "s"), model, size), signs.select("s", "sign", "n"), percent)
+    links = _Links(lambda names: _bodies(source, signs.join(names, "s"), model), percent)
     lists = counted.where(F.col("df") <= rare).select(F.col("token").alias("key"), "s")
     heavy = signs.where(F.col("most") > rare).select("s")
     if heavy.limit(1).count():
-        lists = lists.unionByName(_combinations(links.sets(heavy).join(heavy, "s", "left_semi").dropDuplicates(["s"]), percent, rare))
-    labels = _link(lists, signs.drop("t1", "t2", "most", "sign"), links, percent, offered)
+        lists = lists.unionByName(_combinations(links.sets(heavy).join(heavy, "s", "left_semi").dropDuplicates(["s"]), percent))
+    labels = _link(lists, signs.select("s", "n", "sign", "weight"), links, percent, offered)
     named = rows.where("n > 0").select("id", "n", "s")
     named = named.withColumn("c", F.col("s")) if labels is None else named.join(labels.withColumnRenamed("v", "s").withColumnRenamed("c", "label"), "s", "left").withColumn("c", F.coalesce("label", "s"))
     first = written(named.groupBy("c").agg(F.min("id").alias("component_id")), "jaccard-first")
