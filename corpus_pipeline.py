@@ -1,7 +1,7 @@
 """A corpus pipeline: quality rules, near duplicates, benchmark decontamination, secrets, mixing.
 
-Every stage but the last takes and returns rows with the columns of documents. Rows are named by two hashes of id, source and
-text, so null and repeated ids do no harm; verdicts find their rows by that name.
+Every stage but the last takes and returns rows with the columns of documents. Rows travel whole, as one struct beside two hashes of id,
+source and text that name them, so null and repeated ids and extra columns of any name do no harm; verdicts find their rows by that name.
 """
 
 from __future__ import annotations
@@ -20,32 +20,39 @@ _NAME = ["k1", "k2"]
 
 
 def _named(docs: DataFrame) -> DataFrame:
+    """k1, k2 and the row as struct d."""
     parts = ["doc_id", "source", "text"]
-    return docs.withColumn("k1", F.xxhash64(*parts)).withColumn("k2", F.xxhash64(F.lit(1), *parts))
+    return docs.select(F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit(1), *parts).alias("k2"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"))
+
+
+def _rows(docs: DataFrame, *key: str) -> DataFrame:
+    """What operators read, with the row's name (after the columns in ``key``) as column row."""
+    parts = [F.col(f"d.{c}").alias(c) for c in key]
+    return _named(docs).select(F.struct(*parts, *_NAME).alias("row"), "d.text", "d.source")
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    return _named(docs).join(rejected.select("row.k1", "row.k2").distinct(), _NAME, "left_anti").drop(*_NAME)
+    return _named(docs).join(rejected.select("row.k1", "row.k2").distinct(), _NAME, "left_anti").select("d.*")
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    return _named(docs).withColumn("row", F.struct(*_NAME))
+def _changed(docs: DataFrame, row: str, clean, changed) -> list:
+    """The columns of documents with the text ``clean``; n_chars follows where the text changed."""
+    at = lambda c: F.col(f"{row}.`{c}`")
+    columns = {c: at(c) for c in docs.columns} | {"text": F.when(changed, clean).otherwise(at("text")), "n_chars": F.when(changed, F.length(clean).cast("long")).otherwise(at("n_chars"))}
+    return [columns[c].alias(c) for c in docs.columns]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality rules reject and cuts lines above their host's limit from the others; n_chars follows where the text changed."""
     found = quality_rules(_rows(docs), "row").where("not kept or size(cut_lines) > 0").select("row.k1", "row.k2", "kept", "cut_lines").dropDuplicates(_NAME)
     out = _named(docs).join(found, _NAME, "left").where("coalesce(kept, true)")
-    changed = F.coalesce(F.size("cut_lines"), F.lit(0)) > 0
-    clean = out.withColumn("clean", F.when(changed, without_lines(F.col("text"), F.col("cut_lines"))).otherwise(F.col("text")))
-    columns = {c: F.col(c) for c in docs.columns} | {"text": F.col("clean"), "n_chars": F.when(changed, F.length("clean").cast("long")).otherwise(F.col("n_chars"))}
-    return clean.select(*(columns[c].alias(c) for c in docs.columns))
+    out = out.withColumn("clean", without_lines(F.col("d.text"), F.col("cut_lines")))
+    return out.select(*_changed(docs, "d", F.col("clean"), F.coalesce(F.size("cut_lines"), F.lit(0)) > 0))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates (five-word shingles, similarity 0.8): the one with the smallest id."""
-    named = _named(docs).withColumn("row", F.struct("doc_id", *_NAME))
-    found = jaccard_components(named, "row")
+    found = jaccard_components(_rows(docs, "doc_id"), "row")
     out = _without(docs, found.where("not (row <=> component_id)"))
     # rows equal in id, source and text have one name; one of them stays
     again = written(found.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select("row.k1", "row.k2"), "pipeline-equal")
@@ -53,7 +60,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         return out
     out = _named(out)
     once = out.join(again, _NAME, "left_semi").dropDuplicates(_NAME)
-    return out.join(again, _NAME, "left_anti").unionByName(once).drop(*_NAME)
+    return out.join(again, _NAME, "left_anti").unionByName(once).select("d.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,12 +71,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets in the texts; n_chars follows where the text changed."""
-    rest = [c for c in docs.columns if c != "text"]
-    found = secrets.scan(docs.withColumn("rest", F.struct(*rest)), "rest")
-    found = found.withColumn("clean", secrets.redact(F.col("text"), F.col("spans")))
-    size = F.when(F.size("spans") > 0, F.length("clean").cast("long")).otherwise(F.col("rest.n_chars"))
-    columns = {c: F.col(f"rest.{c}") for c in rest} | {"text": F.col("clean"), "n_chars": size}
-    return found.select(*(columns[c].alias(c) for c in docs.columns))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
+    found = secrets.scan(docs.select(whole.alias("d"), "text"), "d")
+    found = found.select(F.struct("d.*", "text").alias("d"), "spans", secrets.redact(F.col("text"), F.col("spans")).alias("clean"))
+    return found.select(*_changed(docs, "d", F.col("clean"), F.size("spans") > 0))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,7 +83,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality_rules", quality), ("jaccard_join", near_duplicates), ("decontamination", decontamination), ("secret_scans", redaction), ("mixing", mixture)]
-#: Components of links, spans and digests of five stages are beyond one SQL query; a test compares with brute force.
+#: Components of links, spans and digests of five stages are beyond one SQL query; a test holds each stage against brute force.
 ORACLE_SQL: str | None = None
 
 
