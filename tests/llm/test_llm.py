@@ -1,6 +1,7 @@
 """The training-data operators against brute force, and their edge cases."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater.llm import induced, jaccard_join, language_id, mixing, oracles, quality_classifier, secrets, toxicity
+from tidewater.llm import toxicity_grammar as grammar
 from tidewater.llm.components import components
 from tidewater.llm.decontamination import PatternClass, decontaminate
 from tidewater.llm.jaccard_join import jaccard_components
@@ -116,7 +118,7 @@ def test_components_of_a_path_and_a_star(spark):
     assert {got[i] for i in range(41)} == {0} and {got[100 + i] for i in range(30)} == {100}
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 22, 1])
+@pytest.mark.parametrize("block_bytes", [1 << 22, 12])
 def test_decontaminate(spark, texts, block_bytes):
     word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
     low = lambda t: word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
@@ -127,7 +129,10 @@ def test_decontaminate(spark, texts, block_bytes):
         x = low(t)
         for j in range(max(1, len(x) - 9) if x else 0):
             windows[tuple(x[j : j + 10])].add(str(i))
-    got = rows_of(decontaminate(table(spark, texts), bench, block_bytes=block_bytes))
+    builds = spark.sparkContext.accumulator(0)
+    got = rows_of(decontaminate(table(spark, texts), bench, block_bytes=block_bytes, builds=builds))
+    blocks = -(-sum(len((t or "").encode()) for t in items) // block_bytes)
+    assert builds.value <= blocks * 8, "a worker makes a table once"
     sizes = {len(v) for v in windows}
     for i, t in enumerate(texts):
         x, hit, found = low(t), set(), set()
@@ -197,6 +202,26 @@ def test_secrets(spark):
     assert [s.kind for s in got[len(cases)][0].spans] == ["private_key"] and "forge_token" in [s.kind for s in got[len(cases) + 1][0].spans] and got[len(cases) + 2][0].spans[0].kind == "web_token"
 
 
+def test_many_secrets_in_one_text(spark):
+    text = " ".join(f"token=abcdef{i}" for i in range(700)) + " é " + " ".join("f" * 24 + "g" for _ in range(300))
+    got = secrets.scan(table(spark, [text, None, ""])).where("doc_id = 0").first()
+    assert [(s.kind, s.start, s.end) for s in got.spans] == secrets_of(text)
+
+
+def test_texts_without_candidates_stay(spark):
+    """Only candidates' texts meet the postings: the others lie in a branch of their own without an exchange of texts."""
+    plan = secrets.scan(table(spark, ["clean"] * 5)).select("doc_id", "spans")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union") and plan.count("LeftOuter") == 3
+
+
+def test_expressions_that_are_not_known():
+    for pattern in ("(?=abc)d", "a(b", "a)b", "*a", r"\1a"):
+        with pytest.raises(ValueError):
+            secrets.trigram_query(pattern)
+    assert secrets.trigram_query(r"ab[^c]defg") == {frozenset({"def", "efg"})} and secrets.trigram_query("(?:abc)+?|xyz.") == {frozenset({"abc"}), frozenset({"xyz"})}
+    assert secrets.trigram_query(r"a\dbcd{0,1}") == {frozenset()} and secrets.trigram_query("abcd{2,3}e") == {frozenset({"abc"})}
+
+
 def test_trigram_queries():
     assert secrets.trigram_query("[0-9a-f]+") == {frozenset()}
     assert secrets.trigram_query("AKIA[A-Z0-9]{16,}") == {frozenset({"aki", "kia"})}
@@ -353,6 +378,51 @@ def test_forest_matches_plain_walk():
     assert np.allclose(forest.score(x), [walk(r) for r in x])
 
 
+def plain_tree(x, cuts, g, h, depth, least, ridge):
+    """One boosted tree by trying every cut of every feature in every node."""
+    best, at = 1e-6, None
+    if depth:
+        for f, values in enumerate(cuts):
+            for t in values:
+                left = x[:, f] <= t
+                if min(left.sum(), (~left).sum()) >= least:
+                    gain = sum(g[s].sum() ** 2 / (h[s].sum() + ridge) for s in (left, ~left)) - g.sum() ** 2 / (h.sum() + ridge)
+                    if gain > best + 1e-9:
+                        best, at = gain, (f, t)
+    if at is None:
+        value = -0.15 * g.sum() / (h.sum() + ridge)
+        return lambda row: value
+    left = x[:, at[0]] <= at[1]
+    below = [plain_tree(x[s], cuts, g[s], h[s], depth - 1, least, ridge) for s in (left, ~left)]
+    return lambda row: below[0 if row[at[0]] <= at[1] else 1](row)
+
+
+def test_forest_fits_as_plain_trees_do():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(240, 4)).astype(np.float32)
+    y = ((x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(size=240) / 2) > 0).astype(float)
+    forest = quality_classifier.fit_forest(x, y, trees=6, depth=3, bins=12)
+    cuts = [np.unique(np.quantile(c, np.linspace(0, 1, 13)[1:-1]).astype(np.float32)) for c in x.T]
+    raw = np.full(240, np.log((y.sum() + 0.5) / (241 - y.sum() - 0.5)))
+    for _ in range(6):
+        p = 1 / (1 + np.exp(-raw))
+        tree = plain_tree(x, cuts, p - y, p * (1 - p), 3, 10, 1.0)
+        raw = raw + np.array([tree(r) for r in x])
+    assert np.allclose(forest.score(x), 1 / (1 + np.exp(-raw)), atol=1e-6)
+
+
+def test_held_out_is_never_null(spark, odd, tmp_path):
+    from tidewater.llm import queries
+
+    odd.drop("domain").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "other words here"), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, query in queries.QUERIES.items():
+        rows = query(spark, str(tmp_path)).collect()
+        if "held_out" in (rows[0] if rows else ()):
+            assert len(rows) == odd.count() and all(r.held_out in (True, False) and 0 <= r.score <= 1 for r in rows), name
+
+
 def test_language_mixture(spark):
     rng = random.Random(2)
     speak = {"aa": "abcde", "bb": "vwxyz", "cc": "éèàüö"}
@@ -367,6 +437,47 @@ def test_language_mixture(spark):
     assert {r.lang_pred for r in language_id.identify(table(spark, cases), {}).collect()} == {"und"}
 
 
+def test_mixtures_against_all_sets_of_languages():
+    """Forward choice against every set of up to three languages under the same penalty, each fitted at length."""
+    rng = np.random.default_rng(5)
+    p = rng.dirichlet(np.full(40, 0.15), 5)
+    counts = {f"l{i}": np.bincount(rng.choice(40, 4000, p=p[i]), minlength=language_id.BUCKETS) for i in range(5)}
+    likelihoods = np.stack([(n + 0.5) / (n.sum() + 0.5 * language_id.BUCKETS) for n in counts.values()], 1)
+    agreed = 0
+    for trial in range(30):
+        true = rng.choice(5, 1 + trial % 3, replace=False)
+        share = rng.dirichlet(np.full(true.size, 8.0))
+        grams = np.concatenate([rng.choice(40, int(600 * s), p=p[i]) for i, s in zip(true, share, strict=True)])
+        n = np.bincount(grams, minlength=language_id.BUCKETS)
+        best = (-np.inf, None, None)
+        for size in (1, 2, 3):
+            for chosen in itertools.combinations(range(5), size):
+                pi = np.full(size, 1 / size)
+                for _ in range(60):
+                    pi = pi * ((n / (likelihoods[:, chosen] @ pi)) @ likelihoods[:, chosen]) / n.sum()
+                value = n @ np.log(likelihoods[:, chosen] @ pi) - size * 2.0 * np.log(grams.size)
+                best = max(best, (value, [f"l{i}" for i in chosen], pi.tolist()))
+        got = {size: language_id.shares(grams, [lambda b=b: b for b in language_id.blocks_of(counts, size)]) for size in (128, 2, 1)}
+        assert all(x.keys() == got[128].keys() and np.allclose(list(x.values()), list(got[128].values())) for x in got.values()), "blocks change nothing"
+        if sorted(got[128]) == best[1]:
+            agreed += 1
+            assert np.allclose([got[128][x] for x in best[1]], best[2], atol=0.05)
+    assert agreed >= 28
+
+
+def test_more_languages_than_a_block(spark):
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    speak = {f"x{i:03d}": rng.sample(letters, 3) for i in range(300)}
+    say = lambda lang, n: " ".join("".join(rng.choices(speak[lang], [6, 3, 1])[0] for _ in range(4)) for _ in range(n))
+    docs = spark.createDataFrame([(i, say(x, 80), x) for i, x in enumerate([*speak, *speak])], "doc_id long, text string, lang string")
+    counts = language_id.gram_counts(docs)
+    assert list(counts) == sorted(speak)
+    some = docs.where("doc_id % 60 = 7")
+    whole = {r.doc_id: (r.lang_pred, r.lang, r.score) for r in language_id.identify(some, counts).join(some.select("doc_id", "lang"), "doc_id").collect()}
+    assert len(whole) == 10 and all(x == y for x, y, _ in whole.values()), "languages beyond one block are found"
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     plain = [" ".join(f"w{rng.randrange(300)}" for _ in range(40)) + "." for _ in range(200)]
@@ -394,12 +505,51 @@ def test_chance_of_a_stem():
     assert np.allclose(got, [1, 4 / 120 + 36 / 120, 4 / 120])
 
 
+def plain_event(words):
+    """The gravest event of a clause, rule by rule."""
+    o, i, h, t, n, r = range(6)
+    grave, last, found = list(grammar.EVENTS), None, []
+    near = lambda c, a, b: any(words[x] == c for x in range(max(a, 0), min(b, len(words))))
+    heap = pending = -1  # the last words that a plain insult and a threat reach
+    for x, c in enumerate(words):
+        denied = near(n, x - 3, x)
+        reported = near(r, x - 8, x) or near(r, x + 1, x + 9)
+        if c == i:
+            aimed = near(t, x - 4, x) or near(t, x + 1, x + 3)
+            found.append("denied" if denied else "reported" if reported else "aimed" if aimed else "heaped" if x <= heap else "insult")
+            heap = x + 4 if not denied and not reported else heap
+        if c == h and not denied and not reported:
+            pending = x + 4
+            if near(t, x - 4, x):
+                found.append("menace")
+        if c == t and x <= pending:
+            found.append("threat")
+            pending = -1
+    return max((grave.index(e) + 1 for e in found), default=0)
+
+
 def test_clause_grammar():
-    event, i, t, n, r, o, h = toxicity.clause_event, toxicity.INSULT, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT, toxicity.OTHER, toxicity.THREAT
-    assert event([o, i]) == "insult" and event([t, o, i]) == "aimed" and event([n, o, i]) == "denied" and event([r, o, o, i]) == "reported"
-    assert event([h, o, t]) == "threat" and event([h, o]) is None and event([n, h, t]) is None and event([o]) is None
-    assert event([n, o, o, o, i]) == "insult", "negation does not reach further than three words"
-    assert event([n, i, o, o, t, i]) == "aimed", "the gravest event counts"
+    rng = random.Random(7)
+    clauses = [[rng.choices(range(6), [8, 2, 1, 2, 1, 1])[0] for _ in range(rng.choice([1, 3, 8, 20, 60]))] for _ in range(1500)]
+    got = grammar.clause_events(np.array([w for c in clauses for w in c], np.int8), np.repeat(np.arange(len(clauses)), [len(c) for c in clauses]))
+    assert got.tolist() == [plain_event(c) for c in clauses]
+    o, i, h, t, n, r = range(6)
+    name = lambda c: [None, *grammar.EVENTS][plain_event(c)]
+    assert name([o, i]) == "insult" and name([t, o, i]) == "aimed" and name([n, o, i]) == "denied" and name([r, o, o, i]) == "reported" and name([t, i, o, r]) == "reported"
+    assert name([h, o, t]) == "threat" and name([h, o]) is None and name([n, h, t]) is None and name([o]) is None and name([t, h]) == "menace"
+    assert name([n, o, o, o, i]) == "insult", "negation does not reach further than three words"
+
+
+def test_weights_follow_a_plain_descent():
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 3, (300, len(grammar.EVENTS))).astype(float)
+    y = (rng.random(300) < 1 / (1 + np.exp(2 - x[:, 3] - 2 * x[:, 6]))).astype(float)
+    base, weights = toxicity.fit_weights(x, y)
+    prior = np.array([toxicity.PRIOR_BASE, *grammar.EVENTS.values()])
+    design, w = np.column_stack([np.ones(300), x]), prior.copy()
+    for _ in range(20_000):
+        w -= 0.004 * (design.T @ (1 / (1 + np.exp(-design @ w)) - y) + 0.5 * (w - prior))
+    assert np.allclose([base, *weights], [w[0], *np.maximum(w[1:], 0)], atol=1e-3)
 
 
 def test_mixing_follows_weights(spark):

@@ -10,6 +10,7 @@ many places of a text at once, each jumping by its own shift.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 
 import numpy as np
@@ -18,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as k
-from .shared import by_batch
+from .repeats import text_names
+from .shared import by_batch, written
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _UPPER_TO_LOWER = bytes(k.LOWER)
@@ -117,7 +119,79 @@ def normalised(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return text, place, first
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+#: The table that this worker made last, by the name of its block; a block's job makes it once a worker.
+_made: dict[str, Search] = {}
+
+
+def _table(name: str, block, window: int, builds) -> Search:
+    if name not in _made:
+        _made.clear()
+        _made[name] = Search(block.value, window)
+        if builds is not None:
+            builds.add(1)
+    return _made[name]
+
+
+_HITS = "array<struct<start:long,end:long>>"
+_HIT_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _spans(hit: np.ndarray) -> list[dict[str, int]]:
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
+    return [{"start": int(x), "end": int(y)} for x, y in zip(edges[::2], edges[1::2], strict=True)]
+
+
+def _searched(source: DataFrame, table, everything: bool) -> DataFrame:
+    """id, t1, t2, n_words, hits and items for each row, or for those with a hit only."""
+    kind = source.schema[0].dataType.simpleString()
+
+    def run(batch):
+        search = table()
+        for a, b, data, off in k.string_slices(batch.column(3)):
+            text, place, first = normalised(data, off)
+            marks = np.zeros(place.size + 1, np.int64)
+            items: dict[int, set[str | None]] = defaultdict(set)
+            for group in search.classes:
+                found = group.occurrences(text)
+                if not found:
+                    continue
+                word = np.searchsorted(place, np.array([x[0] for x in found]) + 1)
+                np.add.at(marks, word, 1)
+                np.add.at(marks, word + np.array([search.words_of[p] for _, p in found]), -1)
+                row = np.searchsorted(first, word, side="right") - 1
+                for r, (_, p) in zip(row.tolist(), found, strict=True):
+                    items[r] |= search.items_of[p]
+            hit = np.cumsum(marks)[:-1] > 0
+            some = k.row_sums(hit, first) > 0
+            rows = np.arange(b - a) if everything else np.flatnonzero(some)
+            spans = [_spans(hit[first[r] : first[r + 1]]) if some[r] else [] for r in rows.tolist()]
+            chosen = pa.array(rows)
+            yield {x: batch.column(i).slice(a, b - a).take(chosen) for i, x in enumerate(("id", "t1", "t2"))} | {"n_words": np.diff(first)[rows], "hits": pa.array(spans, _HIT_TYPE), "items": pa.array([list(items.get(r, ())) for r in rows.tolist()], pa.list_(pa.string()))}
+
+    return by_batch(source, f"id {kind}, t1 long, t2 long, n_words long, hits {_HITS}, items array<string>", run)
+
+
+def _united(found: DataFrame) -> DataFrame:
+    """Hits and items of a text out of those by block: overlapping runs become one."""
+
+    def run(batch):
+        out = []
+        for spans in batch.column(2).to_pylist():
+            own: list[dict[str, int]] = []
+            for x in sorted(spans, key=lambda x: x["start"]):
+                if own and x["start"] <= own[-1]["end"]:
+                    own[-1]["end"] = max(own[-1]["end"], x["end"])
+                else:
+                    own.append(dict(x))
+            out.append(own)
+        yield {"t1": batch.column(0), "t2": batch.column(1), "hits": pa.array(out, _HIT_TYPE), "items": batch.column(3)}
+
+    # copies of a text say the same; collect_set would leave out the null that stands for items of null id
+    grouped = found.groupBy("t1", "t2").agg(F.flatten(F.collect_set("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    return by_batch(grouped.select("t1", "t2", "hits", "items"), f"t1 long, t2 long, hits {_HITS}, items array<string>", run)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES, builds=None) -> DataFrame:
     """Words of each text that lie in a passage of a test item.
 
     A word is a run of ASCII digits, ASCII letters (lower-cased) and characters beyond ASCII. An item of
@@ -125,63 +199,41 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     n_words, n_hit, hits (runs of hit words: start, end) and items (ids whose windows occur, as
     strings, sorted; all items of null id are one null, which comes last). Null and empty texts have no words and no hits; items without words
     match nothing; repeated rows and repeated ids stay as they are; equal texts of several items
-    count for each item; other columns are ignored. The items are read in blocks of ``block_bytes``
-    of text, each broadcast on its own, so that what is broadcast has a bound.
+    count for each item; very long texts are searched whole; an empty table gives an empty one; other columns are ignored, whatever their names.
+
+    The items are dealt into blocks of about ``block_bytes`` of text; the driver holds and broadcasts one block at a time. The texts are read once for each
+    block, and a worker makes a block's table once. ``builds``: an accumulator that counts the tables made.
     """
     spark = docs.sparkSession
-    blocks, rows, size = [], [], 0
-    chosen = benchmark.select(F.col(item_col).cast("string"), F.col(item_text_col)).where(F.col(item_text_col).isNotNull())
-    for row in chosen.toLocalIterator():
-        rows.append((row[0], row[1]))
-        size += len(row[1])
-        if size >= block_bytes:
-            blocks.append(spark.sparkContext.broadcast(rows))
-            rows, size = [], 0
-    if rows or not blocks:
-        blocks.append(spark.sparkContext.broadcast(rows))
-    made: dict[int, Search] = {}
-
-    def search(i: int) -> Search:
-        if i not in made:
-            made.clear()
-            made[i] = Search(blocks[i].value, window)
-        return made[i]
-
-    def run(batch):
-        for a, b, data, off in k.string_slices(batch.column(1)):
-            text, place, first = normalised(data, off)
-            marks = np.zeros(place.size + 1, np.int64)
-            items: dict[int, set[str | None]] = defaultdict(set)
-            for i in range(len(blocks)):
-                table = search(i)
-                for group in table.classes:
-                    found = group.occurrences(text)
-                    if not found:
-                        continue
-                    word = np.searchsorted(place, np.array([x[0] for x in found]) + 1)
-                    np.add.at(marks, word, 1)
-                    np.add.at(marks, word + np.array([table.words_of[p] for _, p in found]), -1)
-                    row = np.searchsorted(first, word, side="right") - 1
-                    for r, (_, p) in zip(row.tolist(), found, strict=True):
-                        items[r] |= table.items_of[p]
-            hit = np.cumsum(marks)[:-1] > 0
-            n_hit = k.row_sums(hit, first)
-            spans = []
-            for r, n in enumerate(n_hit.tolist()):
-                if n:
-                    own = np.concatenate([[0], hit[first[r] : first[r + 1]].view(np.int8), [0]])
-                    edges = np.flatnonzero(np.diff(own))
-                    spans.append([{"start": int(x), "end": int(y)} for x, y in zip(edges[::2], edges[1::2], strict=True)])
-                else:
-                    spans.append([])
-            yield {
-                id_col: batch.column(0).slice(a, b - a),
-                "n_words": np.diff(first),
-                "n_hit": n_hit,
-                "hits": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                "items": pa.array([sorted(items.get(r, ()), key=lambda x: (x is None, (x or "").encode())) for r in range(b - a)], pa.list_(pa.string())),
-            }
-
-    source = docs.select(F.col(id_col), F.col(text_col).cast("string"))
-    kind = source.schema[0].dataType.simpleString()
-    return by_batch(source, f"`{id_col}` {kind}, n_words long, n_hit long, hits array<struct<start:long,end:long>>, items array<string>", run)
+    text = F.col(text_col).cast("string")
+    source = docs.select(F.col(id_col).alias("id"), *text_names(text), text.alias("text"))
+    chosen = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("text is not null")
+    size = chosen.agg(F.sum(F.octet_length("text"))).first()[0]
+    blocks = max(1, -(-int(size or 0) // block_bytes))
+    # by hash, so that a block is about as large as asked for; equal rows are one item's window twice
+    dealt = chosen.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
+    found = None
+    for i in range(blocks):
+        items = [(r.item, r.text) for r in dealt.where(F.col("block") == i).distinct().collect()]  # one block
+        block, name = spark.sparkContext.broadcast(items), uuid.uuid4().hex
+
+        def table(block=block, name=name):
+            return _table(name, block, window, builds)
+
+        if blocks == 1:
+            out = _searched(source, table, True)
+            break
+        part = written(_searched(source, table, False).drop("id", "n_words"), "decontamination-hits")
+        found = part if found is None else found.unionByName(part)
+        block.destroy()
+    else:
+        counted = by_batch(source.select("id", "t1", "t2", "text"), f"id {source.schema[0].dataType.simpleString()}, t1 long, t2 long, n_words long", _words)
+        out = counted.join(_united(found), ["t1", "t2"], "left").select("id", "n_words", F.coalesce("hits", F.expr(f"cast(array() as {_HITS})")).alias("hits"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
+    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    ordered = F.concat(F.array_sort(F.array_compact("items")), F.filter("items", lambda x: x.isNull()))
+    return out.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), "hits", ordered.alias("items"))
+
+
+def _words(batch):
+    for a, b, data, off in k.string_slices(batch.column(3)):
+        yield {x: batch.column(i).slice(a, b - a) for i, x in enumerate(("id", "t1", "t2"))} | {"n_words": np.diff(k.words(data, off, k.ALNUM)[2])}

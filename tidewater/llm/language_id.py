@@ -1,8 +1,8 @@
 """Language ID: each text as a mixture of languages.
 
 A language is a distribution of hashed byte trigrams of letters. For each text, expectation-maximisation estimates the
-share of each language from the trigram likelihoods; languages enter the set one by one while the
-likelihood gains more than the penalty of another parameter.
+share of each language from the trigram likelihoods. The set of languages grows one by one: of all others the one whose addition raises the likelihood
+most enters while that gain is over the penalty of another parameter. Languages lie in blocks of bounded size; a task holds one block at a time.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from .shared import by_batch
 
 BUCKETS = 1 << 15
 _PART = 1 << 11
-#: Languages that a model holds at most: those with most rows.
-MAX_LANGS = 256
+#: Languages in a block of the model, and languages whose counts a task holds at once.
+BLOCK_LANGS = 128
 
 _LETTER = np.zeros(256, bool)
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = _LETTER[0x80:] = True
@@ -69,7 +69,7 @@ def gram_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
                     picked = np.repeat(own == lang, np.diff(first))
                     n = np.bincount(grams[picked], minlength=BUCKETS)
                     total[lang] = total[lang] + n if lang in total else n
-            if len(total) > MAX_LANGS:
+            if len(total) >= BLOCK_LANGS:
                 yield from out()
         yield from out()
 
@@ -78,81 +78,102 @@ def gram_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
 
     source = docs.where(F.col(lang_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     parts = source.mapInArrow(count, "lang string, part int, n array<long>").groupBy("lang", "part").applyInPandas(summed, "lang string, part int, n array<long>")
-    sizes = source.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).select("lang")
     out: dict[str, np.ndarray] = {}
-    for row in parts.join(F.broadcast(sizes), "lang").toLocalIterator():
+    for row in parts.toLocalIterator():  # of a fixed size for each language
         out.setdefault(row.lang, np.zeros(BUCKETS, np.int64))[row.part * _PART : (row.part + 1) * _PART] = row.n
     return dict(sorted(out.items()))
 
 
-class Mixture:
-    """Languages with their trigram likelihoods."""
+class Likelihoods:
+    """Trigram probabilities of a block of languages."""
 
-    def __init__(self, counts: dict[str, np.ndarray], smooth: float = 0.5, rounds: int = 12, penalty: float = 2.0):
+    def __init__(self, counts: dict[str, np.ndarray], smooth: float = 0.5):
         self.langs = list(counts)
-        self.rounds, self.penalty = rounds, penalty
-        p = np.stack([(n + smooth) / (n.sum() + smooth * BUCKETS) for n in counts.values()], 1) if counts else np.zeros((BUCKETS, 0))
-        self.p, self.log_p = p, np.log(p) if counts else p
-
-    def shares(self, grams: np.ndarray) -> dict[int, float]:
-        """Share of each chosen language in a text's trigrams."""
-        n = np.bincount(grams, minlength=BUCKETS)
-        kinds = np.flatnonzero(n)
-        weight = n[kinds].astype(float)
-        single = weight @ self.log_p[kinds]
-        chosen = [int(single.argmax())]
-        best, pi = float(single[chosen[0]]), np.ones(1)
-        cost = self.penalty * np.log(max(grams.size, 2))
-        p = self.p[kinds]
-        full = self._em(p, weight, np.full(p.shape[1], 1 / p.shape[1]))  # shares under all languages tell which to try next
-        for lang in np.argsort(-full).tolist():
-            if lang in chosen or full[lang] < 0.01:
-                continue
-            part = p[:, [*chosen, lang]]
-            start = full[[*chosen, lang]] + 1e-6
-            share = self._em(part, weight, start / start.sum())
-            likelihood = float(weight @ np.log(part @ share))
-            if likelihood - best <= cost:
-                break
-            chosen.append(lang)
-            best, pi = likelihood, share
-        return dict(zip(chosen, pi.tolist(), strict=True))
-
-    def _em(self, p: np.ndarray, weight: np.ndarray, pi: np.ndarray) -> np.ndarray:
-        total = weight.sum()
-        for _ in range(self.rounds):
-            pi = pi * ((weight / (p @ pi)) @ p) / total
-        return pi
-
-
-def identify(docs: DataFrame, counts: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        p = np.stack([(n + smooth) / (n.sum() + smooth * BUCKETS) for n in counts.values()], 1)
+        self.p = p.astype(np.float32)
+
+
+def blocks_of(counts: dict[str, np.ndarray], langs: int = BLOCK_LANGS) -> list[Likelihoods]:
+    names = list(counts)
+    return [Likelihoods({x: counts[x] for x in names[a : a + langs]}) for a in range(0, len(names), langs)]
+
+
+def _added(p: np.ndarray, mixed: np.ndarray, weight: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each language (column of ``p``), the share with which it joins a mixture best, and how much the log-likelihood gains."""
+    ratio = p / mixed[:, None]
+    share, total = np.full(p.shape[1], 0.5), weight.sum()
+    for _ in range(rounds):
+        part = share * ratio
+        share = weight @ (part / (part + (1 - share))) / total
+    return share, weight @ np.log1p(share * (ratio - 1))
+
+
+def shares(grams: np.ndarray, blocks: list, rounds: int = 12, penalty: float = 2.0) -> dict[str, float]:
+    """Share of each chosen language in a text's trigrams. ``blocks`` are functions that give a block of likelihoods."""
+    n = np.bincount(grams, minlength=BUCKETS)
+    kinds = np.flatnonzero(n)
+    weight = n[kinds].astype(float)
+    cost = penalty * np.log(max(grams.size, 2))
+    chosen: list[str] = []
+    columns = np.empty((kinds.size, 0))
+    pi = np.empty(0)
+    while True:
+        best = (-np.inf, "", np.empty(0))
+        for block in blocks:
+            own = block()
+            p = own.p[kinds].astype(float)
+            gain = _added(p, columns @ pi, weight, rounds)[1] if chosen else weight @ np.log(p)
+            gain[[i for i, x in enumerate(own.langs) if x in chosen]] = -np.inf
+            at = int(gain.argmax())  # ties go to the first language
+            if gain[at] > best[0]:
+                best = (float(gain[at]), own.langs[at], p[:, at])
+        if chosen and best[0] <= cost:
+            return dict(zip(chosen, pi.tolist(), strict=True))
+        chosen.append(best[1])
+        columns = np.column_stack([columns, best[2]])
+        pi = np.full(len(chosen), 1 / len(chosen))
+        for _ in range(rounds if len(chosen) > 1 else 0):
+            pi = pi * ((weight / (columns @ pi)) @ columns) / weight.sum()
+
+
+def identify(docs: DataFrame, counts: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", block_langs: int = BLOCK_LANGS) -> DataFrame:
     """The languages of each text.
 
     Returns a row for each row of ``docs``: its id, lang_pred (the language with the largest share; ties go to the one that
     fits the whole text best), score (that share, 0 to 1) and shares (map of the chosen languages). A null text or one without a letter is ``und`` with score 0, as is
-    every text if no language is known. Repeated rows get equal results; other columns are ignored.
+    every text if no language is known. Repeated rows get equal results; very long texts are read whole; an empty table gives an empty one; other columns
+    are ignored, whatever their names. The model is broadcast in blocks of ``block_langs`` languages (128 KiB each); with several a task loads them in turn.
     """
-    model = docs.sparkSession.sparkContext.broadcast(Mixture(counts))
+    sent = [docs.sparkSession.sparkContext.broadcast(x) for x in blocks_of(counts, block_langs)]
+
+    def block(of):
+        def read():
+            for x in sent:
+                if x is not of and hasattr(x, "_value"):
+                    del x._value  # what a broadcast has read stays on disk
+            return of.value
+
+        return read
 
     def run(batch):
-        m = model.value
+        blocks = [block(x) for x in sent]
         for a, b, data, off in k.string_slices(batch.column(1)):
             grams, first = trigrams(data, off)
             plain = k.row_sums(_ASCII_LETTER[data], off)
-            langs, scores, shares = [], [], []
+            langs, scores, all_shares = [], [], []
             for i in range(b - a):
                 lettered = plain[i] > 0 or (off[i + 1] > off[i] and any(map(str.isalpha, data[off[i] : off[i + 1]].tobytes().decode())))
-                if not lettered or not m.langs:
+                if not lettered or not blocks:
                     langs.append("und")
                     scores.append(0.0)
-                    shares.append([])
+                    all_shares.append([])
                     continue
-                found = m.shares(grams[first[i] : first[i + 1]])
+                found = shares(grams[first[i] : first[i + 1]], blocks)
                 top = max(found, key=found.get)
-                langs.append(m.langs[top])
+                langs.append(top)
                 scores.append(min(1.0, max(0.0, found[top])))
-                shares.append([(m.langs[x], y) for x, y in found.items()])
-            yield {id_col: batch.column(0).slice(a, b - a), "lang_pred": langs, "score": scores, "shares": pa.array(shares, pa.map_(pa.string(), pa.float64()))}
+                all_shares.append(list(found.items()))
+            yield {id_col: batch.column(0).slice(a, b - a), "lang_pred": langs, "score": scores, "shares": pa.array(all_shares, pa.map_(pa.string(), pa.float64()))}
 
     source = docs.select(F.col(id_col), F.col(text_col).cast("string"))
     return by_batch(source, f"`{id_col}` {source.schema[0].dataType.simpleString()}, lang_pred string, score double, shares map<string,double>", run)

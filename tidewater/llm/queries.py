@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language_id, mixing, oracles, quality_classifier, secrets, toxicity
@@ -18,11 +18,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _held(id_col: str, parts: int, part: int) -> Column:
+    """Whether a row is held out; one of null id is neither held out nor learned from."""
+    return F.coalesce(fold(id_col, parts) == part, F.lit(False)).alias("held_out")
+
+
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = written(quality_classifier.document_statistics(_table(spark, sf_dir, "documents")), "quality-features")
     forest = quality_classifier.train(features, _table(spark, sf_dir, "labels").where(fold("doc_id", 3) != 1))
     scores = quality_classifier.score(features, forest)
-    return scores.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scores.select("doc_id", _held("doc_id", 3, 1), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +73,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     counts = language_id.gram_counts(docs.where(fold("doc_id", 4) != 2))
     found = language_id.identify(docs, counts)
-    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", _held("doc_id", 4, 2), "lang_pred", "score")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +84,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.train(docs, _table(spark, sf_dir, "labels").where(fold("doc_id", 3) != 1))
     scores = toxicity.score(docs, model)
-    return scores.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return scores.select("doc_id", _held("doc_id", 3, 1), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_jaccard_join, op3_suffix_dedup, op4_mix_sources, op5_decontaminate, op6_secret_scan, op7_quality_rules, op8_language_id, op9_substring_dedup, op10_toxicity)}

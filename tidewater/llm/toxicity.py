@@ -1,16 +1,15 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become token classes (insult, threat, target, negation, report verb, other, end of clause). Small
-transducers mark the scope of negation, of reported speech and of targets; composed, they turn a clause into
-marked events (an insult, plain or aimed, denied or reported; a threat at a target). A text's score is a logistic function
+Words become classes (insult, threat, target, negation, report verb, other). Transducers for negation, reported speech, targets, insults and
+threats, composed (see ``toxicity_grammar``), turn a clause into its gravest event: an insult, plain, heaped or aimed, denied or
+reported, or a threat at a target. A text's score is a logistic function
 of how many clauses hold each event. Insult stems are learned from labelled rows; the
 closed classes are short lists; the event weights start at a prior and are fitted on the same rows.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as k
 from .shared import by_batch, written
+from .toxicity_grammar import CODE, EVENTS, INSULT, NEGATION, REPORT, TARGET, THREAT, clause_events
 
 #: Labelled rows that stems and weights are learned from at most.
 SAMPLE_ROWS = 20_000
@@ -27,7 +27,6 @@ FALSE_SHARE = 0.05
 #: Bytes of the word beginnings that are learned as stems, besides whole words (0).
 STEM_SIZES = (0, 4, 6)
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
 CLOSED = {
     THREAT: "kill hurt destroy shoot stab burn beat murder tuer frapper töten schlagen matar golpear",
     TARGET: "you your yours he him she her they them these those vous tu toi ils elles du dich ihr euch sie usted tú te ellos ustedes",
@@ -37,75 +36,9 @@ CLOSED = {
 SEEDS = "idiot moron"
 
 
-@dataclass
-class Transducer:
-    """A sequential transducer: (state, symbol) gives the next state and the symbol that goes out. Missing arcs copy the symbol and stay."""
-
-    start: int = 0
-    arcs: dict = field(default_factory=dict)
-
-    def step(self, state, symbol):
-        return self.arcs.get((state, symbol), (state, symbol))
-
-
-class Composed:
-    """Transducers in a row as one: its states are tuples, its arcs are made when first walked."""
-
-    def __init__(self, *parts: Transducer):
-        self.parts = parts
-        self.start = tuple(p.start for p in parts)
-        self.table: dict = {}
-
-    def step(self, states, symbol):
-        found = self.table.get((states, symbol))
-        if found is None:
-            out, after = symbol, []
-            for part, state in zip(self.parts, states, strict=True):
-                state, out = part.step(state, out)
-                after.append(state)
-            found = self.table[states, symbol] = (tuple(after), out)
-        return found
-
-
-def _scope(opener: int, reach: int, mark: str) -> Transducer:
-    """Marks insults and threats within ``reach`` words after a word of class ``opener``."""
-    out = Transducer()
-    symbols = [(c, marks) for c in (INSULT, THREAT) for marks in _MARKS]
-    for state in range(reach + 1):
-        out.arcs[state, (opener, "")] = (reach, (opener, ""))
-        out.arcs[state, (END, "")] = (0, (END, ""))
-        if state:
-            for c, marks in symbols:
-                out.arcs[state, (c, marks)] = (state - 1, (c, "".join(sorted(marks + mark))))
-            for c in (OTHER, TARGET, NEGATION, REPORT):
-                out.arcs.setdefault((state, (c, "")), (state - 1, (c, "")))
-    return out
-
-
-_MARKS = ["", "d", "r", "t", "dr", "dt", "rt", "drt"]
-GRAMMAR = Composed(_scope(NEGATION, 3, "d"), _scope(REPORT, 8, "r"), _scope(TARGET, 4, "t"))
-
-#: Event kinds and the prior weight of a clause that holds one.
-EVENTS = {"insult": 4.0, "aimed": 5.0, "denied": 1.0, "reported": 1.5, "threat": 4.0}
 PRIOR_BASE = -2.5
 
 
-def clause_event(symbols: list[int]) -> str | None:
-    """The gravest event of one clause."""
-    state, best = GRAMMAR.start, None
-    for s in symbols:
-        state, (c, marks) = GRAMMAR.step(state, (s, ""))
-        if c == INSULT:
-            kind = "denied" if "d" in marks else "reported" if "r" in marks else "aimed" if "t" in marks else "insult"
-        elif c == THREAT and "d" not in marks and "r" not in marks and (TARGET in symbols):
-            kind = "threat"
-        else:
-            continue
-        if best is None or EVENTS[kind] > EVENTS[best]:
-            best = kind
-    return best
-
-
 def _stem_hashes(running: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
     """For each stem size, each word's stem hash (0 where the word is no longer than the stem)."""
     out = []
@@ -204,7 +137,7 @@ def events(docs: DataFrame, stems: np.ndarray, id_col: str = "doc_id", text_col:
     def run(batch):
         for a, b, data, off in k.string_slices(batch.column(1)):
             starts, ends, first = k.words(data, off, k.ALNUM)
-            found = [Counter() for _ in range(b - a)]
+            counts = np.zeros((b - a, len(EVENTS) + 1), np.int64)
             if starts.size:
                 stem = _stem_hashes(k.prefix_hash(k.LOWER[data]), starts, ends)
                 kind = np.zeros(starts.size, np.int8)
@@ -216,15 +149,9 @@ def events(docs: DataFrame, stems: np.ndarray, id_col: str = "doc_id", text_col:
                 cut = np.zeros(starts.size, bool)
                 cut[1:] = running[starts[1:]] > running[ends[:-1]]
                 cut[first[:-1][np.diff(first) > 0]] = True
-                clause = np.cumsum(cut) - 1
-                begins = np.append(np.flatnonzero(cut), starts.size)
-                hot = np.unique(clause[(kind == INSULT) | (kind == THREAT)])
-                rows = np.searchsorted(first, begins[hot], side="right") - 1
-                for c, r in zip(hot.tolist(), rows.tolist(), strict=True):
-                    event = clause_event(kind[begins[c] : begins[c + 1]].tolist())
-                    if event:
-                        found[r][event] += 1
-            yield {id_col: batch.column(0).slice(a, b - a)} | {e: pa.array([x[e] for x in found], pa.int64()) for e in EVENTS}
+                rows = np.searchsorted(first, np.flatnonzero(cut), side="right") - 1
+                np.add.at(counts, (rows, clause_events(kind, np.cumsum(cut) - 1)), 1)
+            yield {id_col: batch.column(0).slice(a, b - a)} | {e: counts[:, CODE[e]] for e in EVENTS}
 
     source = docs.select(F.col(id_col), F.col(text_col).cast("string"))
     return by_batch(source, f"`{id_col}` {source.schema[0].dataType.simpleString()}, " + ", ".join(f"`{e}` long" for e in EVENTS), run)
@@ -264,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "id")
     stems = learn_stems(rows.select("text", "y"))
     counts = events(rows, stems, "id").join(F.broadcast(known), "id").groupBy(*EVENTS, "y").count().collect()
-    x = np.array([[min(r[e], 3) for e in EVENTS] for r in counts for _ in range(r["count"])], float).reshape(-1, len(EVENTS))
+    x = np.array([[np.log2(1 + r[e]) for e in EVENTS] for r in counts for _ in range(r["count"])], float).reshape(-1, len(EVENTS))
     base, weights = fit_weights(x, np.array([r.y for r in counts for _ in range(r["count"])], float))
     return Model(stems, base, weights)
 
@@ -273,9 +200,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """How toxic each text is.
 
     Returns a row for each row of ``docs``: its id, score (0 to 1) and by event kind the clauses that hold one. Null and empty texts have no
-    clauses and get the base score; repeated rows get equal scores; other columns are ignored.
+    clauses and get the base score; repeated rows get equal scores; very long texts are read whole; an empty table gives an empty one; other columns are
+    ignored, whatever their names.
     """
     raw = F.lit(model.base)
     for e, w in zip(EVENTS, model.weights.tolist(), strict=True):
-        raw = raw + F.least(F.col(e), F.lit(3)) * w
+        raw = raw + F.log2(1 + F.col(e)) * w
     return events(docs, model.stems, id_col, text_col).select(id_col, (1 / (1 + F.exp(-raw))).alias("score"), *EVENTS)
