@@ -4,7 +4,7 @@ Tokens (hashed word shingles) have one order: by frequency class, from a count s
 sets that link share a token among the first n - ceil(t n) + 1 of each (the prefix). A token that few sets index pairs its
 sets by itself. A set with a frequent token in its prefix extends the prefix to all its tokens, deals them out to G classes by hash
 and indexes the combination of each class's tokens: two linked sets differ in D tokens at most, so of any D + 1 classes one
-is alike in both. G is over D + 1, and each set leaves out its smallest classes, down to the D + 1 largest, so the number k
+is alike in both. G is over D + 1, and each set indexes only its D + 1 largest classes, so the number k
 of tokens in a combination is as large as the set's size allows and no list holds more than sets with these k tokens in common.
 
 Equal sets are one set. Each index list first offers its sets to one pivot, the set that shares most; verified links are
@@ -37,7 +37,7 @@ OFFERED = 16
 FEW = 1 << 18
 #: Names that a task remembers, so as not to send copies again; beyond, copies travel twice.
 _SEEN = 1 << 16
-_RATIO = 1.25
+_RATIO = 2.0
 #: Ways to deal a set's tokens out to classes.
 _DEALS = 4
 
@@ -188,14 +188,14 @@ def _size_classes(n: int, percent: int) -> range:
 def class_keys(tokens: np.ndarray, q: int, percent: int) -> np.ndarray:
     """Keys of a set among sets of size class q: the token combinations of its larger classes.
 
-    Two sets of the class that link share a key: with D different tokens at most, one of a set's D + 1 or more classes of at least k tokens is alike
-    in both, and that set of the two whose k is larger has one that the other indexes too. Where too many classes are empty (small
+    A set that may differ from others in D tokens indexes its D + 1 largest classes (ties by content), so one that is alike in both sets of a linked pair.
+    Of the two the set whose least indexed class is larger has one that the other indexes too. Where too many classes are empty (small
     sets) the tokens are dealt out again by another hash, at last with empty classes as keys.
     """
     largest = int(_RATIO ** (q + 1)) + 1
-    apart = 2 * largest * (100 - percent) // (100 + percent)
-    groups = (apart + 1) * 4 // 3 + 1 if apart else 1
-    apart = (tokens.size + largest) * (100 - percent) // (100 + percent)  # of this set from any other
+    groups = 2 * largest * (100 - percent) // (100 + percent)
+    groups = (groups + 1) * 4 // 3 + 1 if groups else 1
+    apart = (tokens.size + min(largest, tokens.size * 100 // percent)) * (100 - percent) // (100 + percent)
     out = []
     for deal in range(_DEALS):
         salt = np.uint64((q * _DEALS + deal + 1) * 0x9E3779B97F4A7C15 % 2**64)
@@ -206,13 +206,12 @@ def class_keys(tokens: np.ndarray, q: int, percent: int) -> np.ndarray:
         running = np.zeros(tokens.size + 1, np.uint64)
         np.cumsum(k.mix(spread[order]), out=running[1:])
         ends = np.cumsum(sizes)
-        combined = running[ends] - running[ends - sizes]
-        least = int(np.sort(sizes)[groups - 1 - apart])
-        last = least > 0 or deal == _DEALS - 1
-        chosen = np.flatnonzero(sizes >= (least if last else 1))
-        out.append(k.mix(combined[chosen] ^ k.mix(salt + chosen.astype(np.uint64))))
-        if last:
+        keys = k.mix((running[ends] - running[ends - sizes]) ^ k.mix(salt + np.arange(groups, dtype=np.uint64)))
+        chosen = np.lexsort((keys, sizes))[groups - 1 - apart :]
+        if sizes[chosen[0]]:
+            out.append(keys[chosen])
             break
+        out.append(keys if deal == _DEALS - 1 else keys[sizes > 0])
     return np.concatenate(out)
 
 

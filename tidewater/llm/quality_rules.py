@@ -20,12 +20,15 @@ SYMBOLS[list(b"#*$%&|<>")] = True
 REPEAT = 8
 
 
-def _again(row: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order that brings equal items of a row together, and whether each in that order equals the one before: both hashes must."""
-    order = np.lexsort((second, first, row))
-    r, x, y = row[order], first[order], second[order]
+def _again(row: np.ndarray, first: np.ndarray, second) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal items of a row together, and whether each in that order equals the one before: by both hashes, the second is made on demand."""
+    order = np.lexsort((first, row))
     same = np.zeros(order.size, bool)
-    same[1:] = (r[1:] == r[:-1]) & (x[1:] == x[:-1]) & (y[1:] == y[:-1])
+    same[1:] = (row[order[1:]] == row[order[:-1]]) & (first[order[1:]] == first[order[:-1]])
+    if same.any():
+        other = second()
+        order = np.lexsort((other, first, row))
+        same[1:] = (row[order[1:]] == row[order[:-1]]) & (first[order[1:]] == first[order[:-1]]) & (other[order[1:]] == other[order[:-1]])
     return order, same
 
 
@@ -36,7 +39,7 @@ def text_statistics(data: np.ndarray, off: np.ndarray) -> tuple[dict[str, np.nda
     n_words = np.diff(first)
     in_word = k.NOT_SPACE[data]
     out = {"n_words": n_words, "word_chars": k.row_sums(in_word & k.LEADS[data], off), "n_symbols": k.row_sums(SYMBOLS[data], off)}
-    raw = [k.prefix_hash(data, x) for x in (False, True)]
+    raw = k.prefix_hash(data)
     # lines: cut at each \n and at the end of each row
     breaks = np.flatnonzero(data == 0x0A)
     line_end = np.sort(np.concatenate([breaks, off[1:]]), kind="stable")
@@ -56,7 +59,7 @@ def text_statistics(data: np.ndarray, off: np.ndarray) -> tuple[dict[str, np.nda
     words_in = word_to - word_from
     full = words_in > 0
     row = row_of_line[full]
-    order, same = _again(row, *(k.range_hash(x, line_start[full], line_end[full]) for x in raw))
+    order, same = _again(row, k.range_hash(raw, line_start[full], line_end[full]), lambda: k.range_hash(k.prefix_hash(data, True), line_start[full], line_end[full]))
     out["n_dup_lines"] = np.bincount(row[order[same]], minlength=rows)
     # 8-word windows found again in the same text
     covered = np.zeros(starts.size, bool)
@@ -64,7 +67,8 @@ def text_statistics(data: np.ndarray, off: np.ndarray) -> tuple[dict[str, np.nda
         at = np.arange(starts.size - REPEAT + 1)
         row_of_word = np.repeat(np.arange(rows), n_words)
         at = at[row_of_word[at] == row_of_word[at + REPEAT - 1]]
-        order, same = _again(row_of_word[at], *(k.window_hash(k.range_hash(x, starts, ends), REPEAT)[at] for x in raw))
+        words = k.range_hash(raw, starts, ends)
+        order, same = _again(row_of_word[at], k.window_hash(words, REPEAT)[at], lambda: k.window_hash(~words, REPEAT)[at])
         twice = np.zeros(at.size, bool)
         twice[order[same]] = True
         twice[order[:-1][same[1:]]] = True
@@ -77,11 +81,8 @@ def text_statistics(data: np.ndarray, off: np.ndarray) -> tuple[dict[str, np.nda
 def line_hashes(data: np.ndarray, off: np.ndarray, lines: dict[str, np.ndarray]) -> list[np.ndarray]:
     """Two independent hashes of each line's words, A-Z lower-cased."""
     starts, ends, _ = k.words(data, off)
-    low, out = k.LOWER[data], []
-    for second in (False, True):
-        words = k.range_hash(k.prefix_hash(low, second), starts, ends)
-        out.append(k.range_hash(k.value_prefix_hash(words, second), lines["from"], lines["to"]))
-    return out
+    words = k.range_hash(k.prefix_hash(k.LOWER[data]), starts, ends)
+    return [k.range_hash(k.value_prefix_hash(words, x), lines["from"], lines["to"]) for x in (False, True)]
 
 
 def _run(batch):
