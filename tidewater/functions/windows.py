@@ -32,6 +32,21 @@ def ahead(n: int) -> WindowSpec:
     return ordered().rowsBetween(0, n)
 
 
+def before(n: int) -> WindowSpec:
+    """All rows up to n rows before the current one."""
+    return ordered().rowsBetween(Window.unboundedPreceding, -n)
+
+
+def known(x: Column | str, n: int) -> Column:
+    """Whether all of the last n rows are known: a difference of running counts, so its cost does not grow with n."""
+    return F.count(_c(x)).over(running()) - F.count(_c(x)).over(before(n)) == n
+
+
+def prefix_total(x: Column | str, n: int) -> Column:
+    """Sum over the last n rows as a difference of running sums; for values of like size, as the difference keeps the rounding of all that came before."""
+    return F.sum(_c(x)).over(running()) - F.coalesce(F.sum(_c(x)).over(before(n)), F.lit(0.0))
+
+
 def whole() -> WindowSpec:
     return Window.partitionBy(KEY)
 
@@ -42,7 +57,7 @@ def _c(x: Column | str) -> Column:
 
 def rolling(aggregate: Callable[[Column], Column], x: Column | str, n: int) -> Column:
     """``aggregate`` over n rows, null unless all n are known."""
-    return F.when(F.count(_c(x)).over(frame(n)) == n, aggregate(_c(x)).over(frame(n)))
+    return F.when(known(x, n), aggregate(_c(x)).over(frame(n)))
 
 
 def mean(x, n: int) -> Column:
@@ -80,17 +95,21 @@ def truth(condition: Column) -> Column:
 
 
 def zscore(x, n: int) -> Column:
-    return F.try_divide(_c(x) - mean(x, n), deviation(x, n))
+    centre = F.when(known(x, n), prefix_total(_c(x).cast("double"), n) / n)
+    return F.try_divide(_c(x) - centre, deviation(x, n))
 
 
 def rolling_zscore(x, window: int = 250, short: int = 120) -> Column:
     """z-score over ``window`` rows, over ``short`` rows where the ticker has no more than ``window``."""
-    return F.when(F.count(F.lit(1)).over(whole()) <= window, zscore(x, short)).otherwise(zscore(x, window))
+    few = F.count(F.lit(1)).over(whole()) <= window
+    return F.when(few, zscore(x, short)).otherwise(zscore(x, window))
 
 
 def slope(x, n: int, index: str = "row_index") -> Column:
-    """Least-squares slope against the row index over n rows, null if a value is missing."""
-    return F.when(F.count(_c(x)).over(frame(n)) == n, F.regr_slope(_c(x), F.col(index).cast("double")).over(frame(n)))
+    """Least-squares slope against the row index over n rows, null if a value is missing: from running sums, as rows' indexes are consecutive."""
+    x, i = _c(x).cast("double"), F.col(index).cast("double")
+    middle = i - (n - 1) / 2
+    return F.when(known(x, n), (prefix_total(x * i, n) - middle * prefix_total(x, n)) / (n * (n * n - 1) / 12))
 
 
 def indexed(df: DataFrame, name: str = "row_index") -> DataFrame:
@@ -135,10 +154,14 @@ def rolling_known(df: DataFrame, x: str, aggregates: dict[str, Callable[[Column]
 
     Known rows are numbered, so frames count known values only; no join brings the rows together again.
     """
-    known = Window.partitionBy(KEY, F.col(x).isNull()).orderBy(TIME).rowsBetween(-(n - 1), 0)
-    for name, f in aggregates.items():
-        df = df.withColumn(name, F.when(F.col(x).isNotNull() & (F.count(F.col(x)).over(known) == n), f(F.col(x)).over(known)))
-    return df
+    own = Window.partitionBy(KEY, F.col(x).isNull()).orderBy(TIME)
+    full = F.col(x).isNotNull() & (F.row_number().over(own) >= n)
+    return df.withColumns({name: F.when(full, f(F.col(x)).over(own.rowsBetween(-(n - 1), 0))) for name, f in aggregates.items()})
+
+
+def windows(df: DataFrame, wanted: dict[str, tuple[Callable[[Column], Column], str, int]]) -> DataFrame:
+    """Adds a caller's own window functions: by new column the aggregate, the column that it reads and its rows; null until all rows are known."""
+    return df.withColumns({name: rolling(f, x, n) for name, (f, x, n) in wanted.items()})
 
 
 def islands(condition: Column) -> Column:

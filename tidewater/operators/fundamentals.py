@@ -63,3 +63,9 @@ def ratios(wide: DataFrame) -> DataFrame:
         x, y = term(a), term(b)
         out[name] = F.lit(0.0) if x is None or y is None else F.coalesce(F.try_divide(x, y), F.lit(0.0))
     return wide.withColumns(out)
+
+
+def with_daily(prices: DataFrame, daily: DataFrame, keys: tuple[str, ...] = ("ticker", "date")) -> DataFrame:
+    """Prices with the daily fundamentals of their day, null where there are none; columns of daily that prices have too are left out."""
+    extra = [c for c in daily.columns if c not in prices.columns]
+    return prices.join(daily.select(*keys, *extra).dropDuplicates(list(keys)), list(keys), "left")

@@ -89,6 +89,10 @@ SCENARIOS = [
 ]
 
 
+#: Draws of a volume until one is not negative.
+REDRAWS = 64
+
+
 def scenario_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SCENARIOS, "scenario string, factor double, first_interval int, clusters array<int>")
 
@@ -96,7 +100,7 @@ def scenario_table(spark: SparkSession) -> DataFrame:
 def forecast(volumes: DataFrame, shares: DataFrame, log_time: DataFrame, speed: SpeedModel, accidents: LogisticRegressionModel, first_day: str = "2024-07-01", days: int = 31, seed: int = 11) -> DataFrame:
     """Vehicles (scenario, id, datetime, cluster_num, velocity, travel_time, accident) of every scenario and day, in one job.
 
-    Volumes are normal by interval (negative draws count as none), clusters follow their shares, travel times are normal by interval and cluster, in the
+    Volumes are normal by interval (negative ones are drawn again, ``REDRAWS`` times, of which a mean of 0 or more leaves none in 2**64), clusters follow their shares, travel times are normal by interval and cluster, in the
     slowest cluster the exponential of a log-normal draw. Every draw is a hash of the seed and the vehicle's place, so results repeat whatever the layout.
     """
     spark = volumes.sparkSession
@@ -110,7 +114,8 @@ def forecast(volumes: DataFrame, shares: DataFrame, log_time: DataFrame, speed:
     days_ = spark.range(days).select(F.date_add(F.lit(first_day).cast("date"), F.col("id").cast("int")).alias("day"))
     slots = days_.crossJoin(F.broadcast(scenario_table(spark))).crossJoin(F.broadcast(volumes.select("interval_index", "mean_volume", F.coalesce("stddev_volume", F.lit(0.0)).alias("stddev_volume"))))  # days x scenarios x 96, no vehicles yet
     place = ["scenario", "day", "interval_index"]
-    slots = slots.withColumn("volume", F.greatest(F.lit(0), (F.col("mean_volume") + F.col("stddev_volume") * normal(1, *place)).cast("int")))
+    draw = lambda again: F.col("mean_volume") + F.col("stddev_volume") * normal(100, again, *place)
+    slots = slots.withColumn("volume", F.coalesce(F.get(F.filter(F.transform(F.sequence(F.lit(1), F.lit(REDRAWS)), draw), lambda x: x >= 0), F.lit(0)), F.lit(0.0)).cast("int"))
     upto = Window.partitionBy("interval_index").orderBy("cluster_num").rowsBetween(Window.unboundedPreceding, 0)
     bands = shares.withColumn("high", F.sum("share").over(upto)).groupBy("interval_index").agg(F.sort_array(F.collect_list(F.struct("high", "cluster_num", "mean_cluster_time", F.coalesce("stddev_cluster_time", F.lit(0.0)).alias("stddev")))).alias("bands"))
     rows = slots.join(F.broadcast(bands), "interval_index").where("volume > 0").withColumn("n", F.explode(F.sequence(F.lit(1), F.col("volume"))))

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import windows as w
@@ -275,3 +275,9 @@ def backtest_due(day, last_run) -> bool:
     return last_run is None or (day.weekday() in (4, 5) and (day - last_run).days >= 28)
 
 
+
+
+def trend_shares(df: DataFrame, trend: str = "prevailingTrend", by: str = "era") -> DataFrame:
+    """Share of each value of the trend among the known ones of an era."""
+    counts = df.where(F.col(trend).isNotNull()).groupBy(by, trend).agg(F.count("*").alias("rows"))
+    return counts.withColumn("share", F.col("rows") / F.sum("rows").over(Window.partitionBy(by)))  # a row for each era and value

@@ -54,10 +54,17 @@ def insert_if_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFra
     return old.unionByName(new.join(old.select(*keys), keys, "left_anti"), allowMissingColumns=True)
 
 
+def latest(df: DataFrame, keys: list[str], time: str) -> DataFrame:
+    """The latest row of each key; rows of one time in the order of all their columns, nulls last."""
+    order = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(time), *(F.desc_nulls_last(F.col(c).cast("string")) for c in sorted(df.columns)))
+    return df.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Old rows replaced by new ones with the same key, new keys added."""
+    """Old rows replaced by new ones with the same key, new keys added; of rows that repeat a key the one that is last by its columns as text stays."""
     both = old.withColumn("_v", F.lit(0)).unionByName(new.withColumn("_v", F.lit(1)), allowMissingColumns=True)
-    latest = Window.partitionBy(*keys).orderBy(F.desc("_v"))
+    ties = [F.desc_nulls_last(F.col(c).cast("string")) for c in sorted(set(both.columns) - {"_v", *keys})]
+    latest = Window.partitionBy(*keys).orderBy(F.desc("_v"), *ties)
     return both.withColumn("_n", F.row_number().over(latest)).where("_n = 1").drop("_v", "_n")
 
 
@@ -73,6 +80,16 @@ def delete_not_in(old: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame
     return old.join(kept.select(*keys).distinct(), keys, "left_semi")
 
 
+def delete_where(old: DataFrame, condition: Column) -> DataFrame:
+    """Rows without those for which the condition is true; where it is null they stay."""
+    return old.where(~F.coalesce(condition, F.lit(False)))
+
+
+def purge(old: DataFrame, meta: DataFrame, keys: list[str], designations: tuple[str, ...] = ("deadTicker",)) -> DataFrame:
+    """Rows without those of dead tickers."""
+    return old.join(meta.where(F.col("designation").isin(*designations)).select(*keys).distinct(), keys, "left_anti")
+
+
 def unique(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that more than one row has: none if ``keys`` is a primary key."""
     return df.groupBy(*keys).agg(F.count("*").alias("rows")).where("rows > 1")

@@ -527,3 +527,33 @@ def _forecast(spark: SparkSession, d: str) -> DataFrame:
 _query("logit_metrics", _logit)
 _query("linreg_two_band", _linreg)
 _query("scenario_forecast", _forecast)
+
+
+# --- joins and changes of stored tables
+def _daily_values(spark: SparkSession, d: str) -> DataFrame:
+    """Stands in for daily fundamentals: a value for some days of each ticker."""
+    lines = spark.read.parquet(f"{d}/lineitem.parquet")
+    return lines.where("l_returnflag = 'R'").groupBy(F.col("l_suppkey").alias("ticker"), F.col("l_shipdate").cast("date").alias("date")).agg(F.max("l_tax").alias("marketCap"), F.sum("l_discount").alias("enterpriseVal"))
+
+
+_query(
+    "prices_daily_join", lambda spark, d: _rounded(fundamentals.with_daily(views.bars(spark, d), _daily_values(spark, d)), "close marketCap enterpriseVal"),
+    sql.out("close marketCap enterpriseVal", "(SELECT bars.*, marketCap, enterpriseVal FROM bars LEFT JOIN (SELECT l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS date, max(l_tax) AS marketCap, sum(l_discount) AS enterpriseVal FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL) USING (ticker, date))"),
+)
+_query(
+    "delete_range", lambda spark, d: _rounded(universe.delete_where(views.bars(spark, d), F.col("date").between("1994-01-01", "1996-12-31")), "close"),
+    sql.out("close", "(SELECT * FROM bars WHERE NOT (date BETWEEN DATE '1994-01-01' AND DATE '1996-12-31'))"),
+)
+_query(
+    "purge_dead", lambda spark, d: _rounded(universe.purge(views.bars(spark, d), views.listing(spark, d).withColumn("designation", F.expr("if(ticker % 7 = 0, 'deadTicker', 'active')")), ["ticker"]), "close"),
+    sql.out("close", "(SELECT * FROM bars WHERE ticker NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 7 = 0))"),
+)
+_query(
+    "trend_shares", lambda spark, d: _rounded(signals.trend_shares(views.bars(spark, d).withColumn("prevailingTrend", F.signum(w.change("close")).cast("int")).withColumn("era", w.era())), "share", "era prevailingTrend rows", 6),
+    f"""WITH {sql.BARS}, t AS (SELECT CAST(sign(close - {sql.lag("close")}) AS INTEGER) AS prevailingTrend, CAST({" + ".join(f"CASE WHEN date >= DATE '{x}' THEN 1 ELSE 0 END" for x in w.ERA_STARTS)} AS INTEGER) AS era FROM bars)
+  SELECT era, prevailingTrend, count(*) AS rows, round(count(*) / sum(count(*)) OVER (PARTITION BY era) + {sql.NUDGE!r}, 6) + CAST(0 AS DOUBLE) AS share FROM t WHERE prevailingTrend IS NOT NULL GROUP BY era, prevailingTrend""",
+)
+_query(
+    "window_hook", lambda spark, d: _rounded(w.windows(views.bars(spark, d), {"top": (F.max, "close", 15), "middle": (F.avg, "volume", 30)}), "top middle"),
+    sql.out("top middle", f"(SELECT *, {sql.roll('max', 'close', 15)} AS top, {sql.roll('avg', 'volume', 30)} AS middle FROM bars)"),
+)
