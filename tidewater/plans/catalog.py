@@ -557,3 +557,12 @@ _query(
     "window_hook", lambda spark, d: _rounded(w.windows(views.bars(spark, d), {"top": (F.max, "close", 15), "middle": (F.avg, "volume", 30)}), "top middle"),
     sql.out("top middle", f"(SELECT *, {sql.roll('max', 'close', 15)} AS top, {sql.roll('avg', 'volume', 30)} AS middle FROM bars)"),
 )
+
+
+def _configured(spark: SparkSession, d: str) -> DataFrame:
+    """All configured signals on the real swing columns, scored."""
+    return signals.score(signals.compile_signals(technicals(views.bars(spark, d).join(views.listing(spark, d), "ticker"))), list(signals.SIGNALS))
+
+
+_query("signals_backtest", lambda spark, d: signals.backtest(_configured(spark, d)))
+_query("signals_total_score", lambda spark, d: _rounded(signals.total_score(_configured(spark, d)), "totalScore"))
