@@ -357,26 +357,30 @@ class _Heap:
 
 
 def _by_doubling(names: np.ndarray, most: int) -> np.ndarray:
-    """Order of the suffixes of a sequence in memory, by their first ``most`` symbols or more; ties beyond that stay in an arbitrary but fixed order."""
+    """Order of the suffixes of a sequence of LMS names in memory, by their first ``most`` symbols or more; ties beyond that stay in an arbitrary but fixed order.
+
+    A rank is the first slot of a suffix's group; only slots of groups that are still tied are sorted again, by the rank of what follows.
+    """
     n = names.size
-    rank = names.astype(np.int64)
-    width = 1
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(names, kind="stable")
+    live = np.arange(n)
+    rank = np.full(n + 1, -1, np.int64)
+    key = names[order]
+    width = 0
     while True:
-        if width > most:
-            return order
-        nxt = np.zeros(n, np.int64)
-        if width < n:
-            nxt[:-width] = rank[width:] + 1
-        key = rank * (int(rank.max()) + 2) + nxt
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        fresh = np.empty(n, np.int64)
-        fresh[order] = np.cumsum(np.concatenate([[0], (k[1:] != k[:-1]).astype(np.int64)]))
-        rank = fresh
-        if rank.max() == n - 1:
+        new = np.ones(live.size, bool)
+        new[1:] = key[1:] != key[:-1]
+        rank[order[live]] = live[np.maximum.accumulate(np.where(new, np.arange(live.size), 0))]
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        live = live[tied]
+        width = 2 * width or 1
+        if not live.size or width * 2 > most + 1:  # a name stands for two symbols at least
             return order
-        width *= 2
+        own = order[live]
+        key = rank[own] * (n + 1) + rank[np.minimum(own + width, n)] + 1
+        by = np.argsort(key, kind="stable")
+        order[live], key = own[by], key[by]
 
 
 def repeats(text: np.ndarray, width: int, disk: Disk, base: int = BASE_NAMES) -> Iterator[Iterator[np.ndarray]]:

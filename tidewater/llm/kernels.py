@@ -48,6 +48,7 @@ _P = _U((1 << 31) - 1)
 #: Residue fields are 31 bits wide; two bases make a hash, a second pair of bases an independent one.
 _BASES = ((0x3A8F05C5, 0x51E7B2D3), (0x1F6A9C8B, 0x6C9E3777))
 _STEP = 1 << 12
+_STRETCH = 1 << 14
 
 
 def _folded(x: np.ndarray) -> np.ndarray:
@@ -77,12 +78,12 @@ class _Powers:
 
     def __init__(self, base: int):
         self.base, self.inverse = base, pow(base, -1, int(_P))
-        self.rising = np.empty(0, np.uint32)
+        self.rising = np.empty(0, _U)
         self.low, self.high = _series(1, self.inverse, _STEP), np.empty(0, _U)
 
     def up(self, n: int) -> np.ndarray:
         if self.rising.size < n:
-            self.rising = _series(1, self.base, 1 << max(16, n.bit_length())).astype(np.uint32)
+            self.rising = _series(1, self.base, 1 << max(16, n.bit_length()))
         return self.rising[:n]
 
     def down(self, at: np.ndarray, most: int) -> np.ndarray:
@@ -96,15 +97,21 @@ _TABLES = [[_residue(mix(np.arange(1, 257, dtype=np.uint64) * _U(0xD1342543DE82E
 
 
 class Running:
-    """Sums over a sequence whose differences hash any range of it; see ``range_hash``."""
-
-    def __init__(self, fields: list[np.ndarray], second: bool):
-        self.second, self.sums = second, []
-        for values, powers in zip(fields, _powers[second], strict=True):
-            out = np.zeros(values.size + 1, np.uint64)
-            np.cumsum(_folded(values * powers.up(values.size)), out=out[1:])  # below 2**33 each
-            self.sums.append(out)
-        self.size = self.sums[0].size
+    """Sums over a sequence whose differences hash any range of it; see ``range_hash``. ``fields`` gives the residues of a stretch by base."""
+
+    def __init__(self, size: int, fields, second: bool):
+        self.second, self.size = second, size + 1
+        self.sums = [np.zeros(size + 1, np.uint64) for _ in range(2)]
+        rising = [x.up(size) for x in _powers[second]]
+        for a in range(0, size, _STRETCH):  # stretches that stay in the cache
+            b = min(a + _STRETCH, size)
+            for j, values in enumerate(fields(a, b)):
+                x = values * rising[j][a:b]
+                low = x & _P
+                x >>= _U(31)
+                x += low  # below 2**32
+                x[0] += self.sums[j][a]
+                np.cumsum(x, out=self.sums[j][a + 1 : b + 1])
 
 
 def string_slices(column, chunk: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -146,13 +153,13 @@ def words(data: np.ndarray, off: np.ndarray, table: np.ndarray = NOT_SPACE) -> t
 
 def prefix_hash(data: np.ndarray, second: bool = False) -> Running:
     """For hashes of ranges of bytes. ``second``: an independent hash."""
-    return Running([table[data] for table in _TABLES[second]], second)
+    return Running(data.size, lambda a, b: [table[data[a:b]] for table in _TABLES[second]], second)
 
 
 def value_prefix_hash(values: np.ndarray, second: bool = False) -> Running:
     """As ``prefix_hash``, for a sequence of 64-bit values."""
     values = mix(values ^ _U(0x5851F42D4C957F2D)) if second else values
-    return Running([_residue(values & _U(0xFFFFFFFF)), _residue(values >> _U(32))], second)
+    return Running(values.size, lambda a, b: [_residue(values[a:b] & _U(0xFFFFFFFF)), _residue(values[a:b] >> _U(32))], second)
 
 
 def range_hash(running: Running, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -175,19 +182,35 @@ def window_hash(values: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def rolling(values: np.ndarray, size: int) -> np.ndarray:
-    """A quick hash of each ``size`` consecutive values, to choose minimisers with: unequal content may well collide."""
-    if values.size < size:
+#: Spread values of bytes, for ``rolling``.
+SPREAD = mix(np.arange(1, 257, dtype=np.uint64) * _U(0x8EBC6AF09C88C6E3))
+
+
+def rolling(values: np.ndarray, size: int, order: int = 0) -> np.ndarray:
+    """A quick hash of each ``size`` consecutive values (themselves hashes), to choose minimisers with, under several orders: unequal content may well collide."""
+    n = values.size - size + 1
+    if n < 1:
         return np.empty(0, np.uint64)
     if "up" not in _quick or _quick["up"].size <= values.size:
-        n = 1 << max(16, int(values.size + 1).bit_length())
+        most = 1 << max(16, int(values.size + 1).bit_length())
         for name, base in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(n, base, np.uint64)
+            steps = np.full(most, base, np.uint64)
             steps[0] = 1
             _quick[name] = np.multiply.accumulate(steps)
     running = np.zeros(values.size + 1, np.uint64)
-    np.cumsum(mix(values + _U(1)) * _quick["up"][: values.size], out=running[1:])
-    return mix((running[size:] - running[:-size]) * _quick["down"][: values.size - size + 1])
+    for a in range(0, values.size, _STRETCH):
+        x = values[a : a + _STRETCH] * _quick["up"][a : min(a + _STRETCH, values.size)]
+        x[:1] += running[a : a + 1]  # modulo 2**64
+        np.cumsum(x, out=running[a + 1 : a + 1 + x.size])
+    out = np.empty(n, np.uint64)
+    salt = _U(order * 0x9E3779B97F4A7C15 % 2**64)
+    for a in range(0, n, _STRETCH):
+        b = min(a + _STRETCH, n)
+        x = running[a + size : b + size] - running[a:b]
+        x *= _quick["down"][a:b]
+        x ^= salt
+        out[a:b] = mix(x)
+    return out
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, size: int) -> list[np.ndarray]:

@@ -111,7 +111,7 @@ class Units:
 class Bytes(Units):
     def read(self, data, off):
         at = np.arange(data.size)
-        return data.astype(np.uint64), k.prefix_hash(data), off, at, at + 1
+        return k.SPREAD[data], k.prefix_hash(data), off, at, at + 1
 
 
 class Words(Units):
@@ -133,7 +133,7 @@ def segments(values: np.ndarray, running: k.Running, first: np.ndarray, width: i
         none = np.empty(0, np.int64)
         return none, none, none, none.view(np.uint64), none.view(np.uint64), none.view(bool)
     span = width - gram + 1
-    hashes = k.rolling(values + np.uint64(level << 40), gram)
+    hashes = k.rolling(values, gram, level)
     low = k.sliding(np.minimum, hashes, span)
     begin, end = first[:-1], first[1:] - width + 1
     rows = np.flatnonzero(end > begin)
