@@ -243,9 +243,11 @@ def backtest(df: DataFrame, ahead: int = 60) -> DataFrame:
     columns = [c for c in df.columns if c.endswith("_sig")]
     seen = w.ahead(ahead)
     hit = lambda x: F.max((F.col("reversalConf") == x).cast("int")).over(seen) == 1
-    df = df.withColumn("_up", hit("toUp")).withColumn("_down", hit("toDown"))
+    own = ["ticker", "sector", "cap", "exchange"]
+    df = df.withColumn("_up", hit("toUp")).withColumn("_down", hit("toDown")).withColumn("_last", F.col("date") == F.max("date").over(Window.partitionBy(*own)))
     entries = F.array(*(F.struct(F.lit(c).alias("signalName"), F.col(c).alias("v")) for c in columns))
-    long = df.select("ticker", "sector", "cap", "exchange", "date", TREND, "_up", "_down", F.explode(F.filter(entries, lambda x: x["v"] != 0)).alias("x")).select("*", "x.signalName", "x.v").drop("x")
+    # a ticker's last row stands for signals that never fired, so no second branch has to be joined
+    long = df.select(*own, "date", TREND, "_up", "_down", F.explode(F.filter(entries, lambda x: (x["v"] != 0) | F.col("_last"))).alias("x")).select("*", "x.signalName", "x.v").drop("x")
     bullish = F.col("signalName").startswith("bullish")
     fires = F.when(bullish, F.col("v") > 0).otherwise(F.col("v") < 0)
     against = F.col(TREND) == F.when(bullish, -1).otherwise(1)
@@ -253,13 +255,10 @@ def backtest(df: DataFrame, ahead: int = 60) -> DataFrame:
     quiet = ~F.col("_up") & ~F.col("_down")
     rev, cont = fires & against, fires & ~against
     counts = {"reversalCount": rev, "reversalSuccess": rev & turned, "reversalFailure": rev & ~turned, "continuationCount": cont, "continuationSuccess": cont & quiet, "continuationFailure": cont & ~quiet}
-    found = long.groupBy("ticker", "sector", "cap", "exchange", "signalName").agg(F.max("date").alias("last"), *(F.count_if(c).cast("long").alias(n) for n, c in counts.items()))
     part = F.split("signalName", "_")
     indicator = F.when(F.substring("signalName", 8, 1) == "_", F.get(part, F.lit(1))).otherwise("candlestick")
-    names = df.sparkSession.createDataFrame([(c,) for c in columns], "signalName string")
-    every = df.groupBy("ticker", "sector", "cap", "exchange").agg(F.max("date").alias("date")).crossJoin(F.broadcast(names))  # a ticker by signal table, no pairs of rows
-    out = every.join(found.drop("last"), ["ticker", "sector", "cap", "exchange", "signalName"], "left")
-    return out.select("date", "ticker", "sector", "cap", "exchange", indicator.alias("indicator"), "signalName", *(F.coalesce(n, F.lit(0)).alias(n) for n in counts))
+    out = long.groupBy(*own, "signalName").agg(F.max("date").alias("date"), *(F.count_if(c).cast("long").alias(n) for n, c in counts.items()))
+    return out.select("date", *own, indicator.alias("indicator"), "signalName", *counts)
 
 
 def success_rates(results: DataFrame) -> DataFrame:
