@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see: spark.checkpoint.dir, or a local one where it is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
     return (found or os.path.join(tempfile.gettempdir(), "checkpoints")).rstrip("/")
 
 
