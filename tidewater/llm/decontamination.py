@@ -212,15 +212,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     blocks = max(1, -(-int(size or 0) // block_bytes))
     # by hash, so that a block is about as large as asked for; equal rows are one item's window twice
     dealt = chosen.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
+    # items are dealt by hash, so with few items many blocks are empty: these need no pass over the texts
+    present = [0] if blocks == 1 else sorted(r.block for r in dealt.select("block").distinct().collect())  # a number for each block
     found = None
-    for i in range(blocks):
+    for i in present:
         items = [(r.item, r.text) for r in dealt.where(F.col("block") == i).distinct().collect()]  # one block
         block, name = spark.sparkContext.broadcast(items), uuid.uuid4().hex
 
         def table(block=block, name=name):
             return _table(name, block, window, builds)
 
-        if blocks == 1:
+        if len(present) == 1:
             out = _searched(source, table, True)
             break
         part = written(_searched(source, table, False).drop("id", "n_words"), "decontamination-hits")
