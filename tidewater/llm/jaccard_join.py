@@ -231,6 +231,10 @@ def _combinations(bodies: DataFrame, percent: int) -> DataFrame:
     return by_batch(bodies.select("s", "tokens"), "key long, s long", run)
 
 
+def _sizes_allow(n: Column, m: Column, percent: int) -> Column:
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
+
 def _may_link(a: str, b: str, percent: int) -> Column:
     """What sizes and signatures allow: the difference is at most (n + m)(100 - percent) / (100 + percent)."""
 
@@ -243,7 +247,7 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     apart = F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda acc, v: acc + v)
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     # lengths that differ by more than one fold leave a null, which rules nothing out
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.coalesce(apart, F.lit(0)) * (100 + percent) <= (n + m) * (100 - percent))
+    return _sizes_allow(n, m, percent) & (F.coalesce(apart, F.lit(0)) * (100 + percent) <= (n + m) * (100 - percent))
 
 
 def _verified(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
@@ -304,19 +308,21 @@ class _Links:
 
 def _link(lists: DataFrame, signs: DataFrame, links: _Links, percent: int, offered: int) -> DataFrame | None:
     """Components over all linked pairs of the lists (key, s); ``signs``: s, n, sign and weight."""
-    sizes = lists.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    lists = written(lists.join(sizes, "key").join(signs.select("s", "weight"), "s"), "jaccard-lists")
-    pivots = lists.groupBy("key").agg(F.max_by("s", F.struct("weight", "s")).alias("pivot"))
-    lists = written(lists.join(pivots, "key").where("s <> pivot").select("key", "s", "pivot"), "jaccard-stars")
-    star = lists.select("s", F.col("pivot").alias("p")).distinct().join(signs.alias("x"), "s").join(signs.select(F.col("s").alias("p"), F.struct("n", "sign", "weight").alias("y")), "p")
+    sizes = lists.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    lists = written(lists.join(sizes, "key").join(signs.select("s", "n", "weight"), "s"), "jaccard-lists")
+    pivots = lists.groupBy("key").agg(F.max(F.struct("weight", "s", "n")).alias("top"))
+    lists = written(lists.join(pivots, "key").where("s <> top.s").select("key", "s", "n", "m", F.col("top.s").alias("pivot"), F.col("top.n").alias("pn")), "jaccard-stars")
+    star = lists.where(_sizes_allow(F.col("n"), F.col("pn"), percent)).select("s", F.col("pivot").alias("p")).distinct()
+    star = star.join(signs.alias("x"), "s").join(signs.select(F.col("s").alias("p"), F.struct("n", "sign", "weight").alias("y")), "p")
     star = star.select(F.col("s").alias("a"), F.col("p").alias("b"), F.struct("n", "sign").alias("x"), "y").where(_may_link("x", "y", percent))
     near = written(star.select("a", "b", F.col("y.weight").alias("pw")), "jaccard-near")
     links.add(near.groupBy("a").agg(F.max_by("b", F.struct("pw", "b")).alias("b")))
     links.add(links.of(links.of(near, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b"))
+    lists = lists.where("m > 2").select("key", "s", "pivot")  # a pair is its pivot and one set: settled
     while True:
-        # outsiders of a list: sets beyond the component of its pivot that were not yet offered to the others
+        # outsiders of a list: sets beyond the component of its pivot that were not yet offered to the others; a list in one component is settled
         placed = links.of(links.of(lists, "s", "c"), "pivot", "home").withColumn("out", F.col("c") != F.col("home"))
-        waiting = placed.where("out").groupBy("key").agg(F.count("*").alias("waiting"))
+        waiting = placed.groupBy("key").agg(F.count_if("out").alias("waiting"), F.min("c").alias("low"), F.max("c").alias("high")).where("waiting > 0 and low <> high").select("key", "waiting")
         lists = written(placed.join(waiting, "key"), "jaccard-outside")
         if not lists.limit(1).count():
             return links.labels
