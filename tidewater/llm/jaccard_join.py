@@ -138,7 +138,7 @@ class _Model:
 
 
 def _prefixes(source: DataFrame, model) -> DataFrame:
-    """(token, s) for the prefix of each row's set."""
+    """(token, s, n) for the prefix of each row's set."""
 
     def run(batch):
         m = model.value
@@ -146,9 +146,11 @@ def _prefixes(source: DataFrame, model) -> DataFrame:
             sets = [x for x in _token_sets(data, off, m.size) if x.size]
             if sets:
                 heads = [m.ordered(x)[: x.size - _least_overlap(x.size, m.percent) + 1] for x in sets]
-                yield {"token": np.concatenate(heads).view(np.int64), "s": np.repeat(m.names(sets), [x.size for x in heads])}
+                lengths = [x.size for x in heads]
+                sizes = np.array([x.size for x in sets], np.int64)
+                yield {"token": np.concatenate(heads).view(np.int64), "s": np.repeat(m.names(sets), lengths), "n": np.repeat(sizes, lengths)}
 
-    return by_batch(source.select("text"), "token long, s long", run)
+    return by_batch(source.select("text"), "token long, s long, n long", run)
 
 
 def _bodies(source: DataFrame, wanted: DataFrame, model) -> DataFrame:
@@ -235,6 +237,19 @@ def _sizes_allow(n: Column, m: Column, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
+def _band_bit(n: Column, percent: int, shift: int = 0) -> Column:
+    """One of 64 bits for the band of a size; sizes that allow a link lie in the same band or in neighbours."""
+    width = max(float(np.log(100 / percent)), 1e-6) * 1.0001
+    band = F.pmod(F.floor(F.log(n) / width).cast("long") + shift, F.lit(64)).cast("int")
+    return F.call_function("shiftleft", F.lit(1).cast("long"), band)
+
+
+def _has_partner(n: Column, bands: Column, m: Column, percent: int) -> Column:
+    """Whether a list of m sets whose band bits are ``bands`` may hold another set that a set of size n could link with; rules out no link."""
+    beside = _band_bit(n, percent, 1).bitwiseOR(_band_bit(n, percent, -1))
+    return (F.bit_count(bands) < m) | (bands.bitwiseAND(beside) != 0)
+
+
 def _may_link(a: str, b: str, percent: int) -> Column:
     """What sizes and signatures allow: the difference is at most (n + m)(100 - percent) / (100 + percent)."""
 
@@ -318,22 +333,23 @@ def _link(lists: DataFrame, signs: DataFrame, links: _Links, percent: int, offer
     near = written(star.select("a", "b", F.col("y.weight").alias("pw")), "jaccard-near")
     links.add(near.groupBy("a").agg(F.max_by("b", F.struct("pw", "b")).alias("b")))
     links.add(links.of(links.of(near, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b"))
-    lists = lists.where("m > 2").select("key", "s", "pivot")  # a pair is its pivot and one set: settled
+    lists = lists.where("m > 2").select("key", "s", "n", "pivot")  # a pair is its pivot and one set: settled
     while True:
         # outsiders of a list: sets beyond the component of its pivot that were not yet offered to the others; a list in one component is settled
         placed = links.of(links.of(lists, "s", "c"), "pivot", "home").withColumn("out", F.col("c") != F.col("home"))
-        waiting = placed.groupBy("key").agg(F.count_if("out").alias("waiting"), F.min("c").alias("low"), F.max("c").alias("high")).where("waiting > 0 and low <> high").select("key", "waiting")
-        lists = written(placed.join(waiting, "key"), "jaccard-outside")
+        waiting = placed.groupBy("key").agg(F.count_if("out").alias("waiting"), F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m"), F.bit_or(_band_bit(F.col("n"), percent)).alias("bands"))
+        waiting = waiting.where("waiting > 0 and low <> high").select("key", "waiting", "m", "bands")
+        lists = written(placed.join(waiting, "key").where(_has_partner(F.col("n"), F.col("bands"), F.col("m"), percent)).drop("m", "bands"), "jaccard-outside")
         if not lists.limit(1).count():
             return links.labels
         chance = F.pmod(F.xxhash64("key", "s"), F.lit(1 << 20)) / (1 << 20)
         lists = lists.withColumn("now", F.col("out") & ((F.col("waiting") <= offered) | (chance * F.col("waiting") < offered)))
-        signed = lists.join(signs.select("s", "n", "sign"), "s")
+        signed = lists.join(signs.select("s", "sign"), "s")
         x, y = signed.where("now").alias("x"), signed.alias("y")
         once = ~F.col("y.now") | (F.col("x.s") < F.col("y.s"))
         met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & once & _may_link("x", "y", percent))
         links.add(met.select(F.least("x.s", "y.s").alias("a"), F.greatest("x.s", "y.s").alias("b")).distinct())
-        lists = lists.where("not now").select("key", "s", "pivot")
+        lists = lists.where("not now").select("key", "s", "n", "pivot")
         offered *= 8
 
 
@@ -359,13 +375,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     prefixes = _prefixes(source, model)
     shared = written(prefixes.groupBy("token").agg(F.min("s").alias("low"), F.max("s").alias("high")).where("low <> high").select("token"), "jaccard-tokens")
     held = written(prefixes.join(shared, "token").distinct(), "jaccard-prefixes")
-    df = held.groupBy("token").agg(F.count("*").alias("df"))
+    df = held.groupBy("token").agg(F.count("*").alias("df"), F.bit_or(_band_bit(F.col("n"), percent)).alias("bands"))
     counted = written(held.join(df, "token"), "jaccard-counted")
     sets = rows.where("n > 0").groupBy("s").agg(*(F.first(c).alias(c) for c in ("t1", "t2", "n", "sign")))
     weights = counted.groupBy("s").agg(F.sum("df").alias("weight"), F.max("df").alias("most"))
     signs = written(sets.join(weights, "s"), "jaccard-signs")
     links = _Links(lambda names: _bodies(source, signs.join(names, "s"), model), percent)
-    lists = counted.where(F.col("df") <= rare).select(F.col("token").alias("key"), "s")
+    lists = counted.where((F.col("df") <= rare) & _has_partner(F.col("n"), F.col("bands"), F.col("df"), percent)).select(F.col("token").alias("key"), "s")
     heavy = signs.where(F.col("most") > rare).select("s")
     if heavy.limit(1).count():
         lists = lists.unionByName(_combinations(links.sets(heavy).join(heavy, "s", "left_semi").dropDuplicates(["s"]), percent))
