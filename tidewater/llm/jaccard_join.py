@@ -250,6 +250,16 @@ def _has_partner(n: Column, bands: Column, m: Column, percent: int) -> Column:
     return (F.bit_count(bands) < m) | (bands.bitwiseAND(beside) != 0)
 
 
+def _folded(sign: Column, percent: int) -> Column:
+    """The signature folded as often as leaves unlike sets twice as far apart as a link allows: what travels with the lists."""
+    kept = 1.0
+    while kept / 2 >= 4 * (100 - percent) / (100 + percent) and kept > 0.25:
+        kept /= 2
+        half = (F.size(sign) / 2).cast("int")
+        sign = F.zip_with(F.slice(sign, F.lit(1), half), F.slice(sign, half + 1, half), lambda u, v: u.bitwiseXOR(v))
+    return sign
+
+
 def _may_link(a: str, b: str, percent: int) -> Column:
     """What sizes and signatures allow: the difference is at most (n + m)(100 - percent) / (100 + percent)."""
 
@@ -344,7 +354,7 @@ def _link(lists: DataFrame, signs: DataFrame, links: _Links, percent: int, offer
             return links.labels
         chance = F.pmod(F.xxhash64("key", "s"), F.lit(1 << 20)) / (1 << 20)
         lists = lists.withColumn("now", F.col("out") & ((F.col("waiting") <= offered) | (chance * F.col("waiting") < offered)))
-        signed = lists.join(signs.select("s", "sign"), "s")
+        signed = lists.join(signs.select("s", _folded(F.col("sign"), percent).alias("sign")), "s")
         x, y = signed.where("now").alias("x"), signed.alias("y")
         once = ~F.col("y.now") | (F.col("x.s") < F.col("y.s"))
         met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & once & _may_link("x", "y", percent))
