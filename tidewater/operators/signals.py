@@ -76,7 +76,7 @@ BEARISH: list[tuple[str, str, dict[str, dict]]] = [
 ]
 SIGNALS = {f"bullish_{name}": (f, c) for f, name, c in BULLISH} | {f"bearish_{name}": (f, c) for f, name, c in BEARISH}
 
-_NTH = re.compile(r"(\d+)(?:st|nd|rd|th)")
+NTH = re.compile(r"(\d+)(?:st|nd|rd|th)")
 
 
 @dataclass
@@ -107,7 +107,7 @@ class Compiler:
     def operand(self, value, feature: str) -> Column:
         if isinstance(value, str) and value in self.df.columns:
             return F.col(value)
-        if isinstance(value, str) and (m := _NTH.fullmatch(value)):
+        if isinstance(value, str) and (m := NTH.fullmatch(value)):
             return F.col(self.layer(f"p({feature},{m[1]})", w.percentile(feature, int(m[1]))))
         return F.lit(float(value))
 

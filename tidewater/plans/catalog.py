@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar
 from ..functions import windows as w
-from ..operators import breadth, candles, features, fundamentals, indicators, models, recursive, signals, traffic, universe
+from ..operators import breadth, candles, features, fundamentals, indicators, models, recursive, series, signals, traffic, universe
 from ..sources import views
 from . import sql
 
@@ -279,7 +279,7 @@ _signal("sig_divergence", "williamsR14", {"divergence": {"coFeature": "close", "
 _signal("sig_convergence", "williamsR14", {"convergence": {"coFeature": "close", "below": "25th"}}, f"gap <= {sql.percentile('gap', 25)}", _GAP)
 _signal("sig_threshold_trend", "stochasticK20", {"threshold": {"trend": 10, "above": "60th"}}, f"s >= {sql.percentile('s', 60)}", f"(SELECT *, {sql.slope('stochasticK20', 10)} AS s FROM {_SIMPLE})")
 _signal("sig_failure_swing", "williamsR14", {"failureSwing": {"bottom": 14, "thresh": -80}}, None)
-_query("sig_all_configured", lambda spark, d: signals.compile_signals(technicals(views.bars(spark, d))).select("ticker", "date", *signals.SIGNALS))
+_query("sig_all_configured", lambda spark, d: series.configured(views.bars(spark, d)).select("ticker", "date", *signals.SIGNALS))
 
 
 def _turning(b: DataFrame) -> DataFrame:
