@@ -64,3 +64,4 @@ def test_no_wide_windows(spark):
     d = "/root/testdata/sf0.001"
     plan = lambda name: catalog.QUERIES[name](spark, d)._jdf.queryExecution().optimizedPlan().toString()
     assert plan("sig_all_configured").count("Window [") == 0
+    assert plan("signals_backtest").count("Window [") <= 4

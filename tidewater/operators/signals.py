@@ -241,14 +241,21 @@ def backtest(df: DataFrame, ahead: int = 60) -> DataFrame:
     A reversal succeeds if the row or one of the ``ahead`` rows after it confirms its direction, a continuation if none of them confirms any.
     """
     columns = [c for c in df.columns if c.endswith("_sig")]
-    seen = w.ahead(ahead)
-    hit = lambda x: F.max((F.col("reversalConf") == x).cast("int")).over(seen) == 1
     own = ["ticker", "sector", "cap", "exchange"]
-    df = df.withColumn("_up", hit("toUp")).withColumn("_down", hit("toDown")).withColumn("_last", F.col("date") == F.max("date").over(Window.partitionBy(*own)))
-    entries = F.array(*(F.struct(F.lit(c).alias("signalName"), F.col(c).alias("v")) for c in columns))
+    # only what fired travels to its ticker, signals by their place
+    entries = F.array(*(F.struct(F.lit(i).alias("signal"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)))
+    df = df.select(*own, "date", TREND, "reversalConf", F.filter(entries, lambda x: x["v"] != 0).alias("_fired"))
+    # rows of the frame as a difference of running counts, so the cost does not grow with it
+    upto = w.ordered().rowsBetween(Window.unboundedPreceding, ahead)
+    rows = lambda x: F.count(F.when(x, 1)).over(upto) - F.count(F.when(x, 1)).over(w.before(1))
+    confirmed = F.col("reversalConf")
+    hit = lambda x: F.when(rows(confirmed.isNotNull()) > 0, rows(confirmed == x) > 0)
+    df = df.withColumns({"_up": hit("toUp"), "_down": hit("toDown"), "_last": F.col("date") == F.max("date").over(Window.partitionBy(*own))})
     # a ticker's last row stands for signals that never fired, so no second branch has to be joined
-    long = df.select(*own, "date", TREND, "_up", "_down", F.explode(F.filter(entries, lambda x: (x["v"] != 0) | F.col("_last"))).alias("x")).select("*", "x.signalName", "x.v").drop("x")
-    bullish = F.col("signalName").startswith("bullish")
+    silent = F.array(*(F.struct(F.lit(i).alias("signal"), F.lit(0.0).alias("v")) for i in range(len(columns))))
+    long = df.select(*own, "date", TREND, "_up", "_down", F.explode(F.when(F.col("_last"), F.concat("_fired", silent)).otherwise(F.col("_fired"))).alias("x")).select("*", "x.signal", "x.v").drop("x")
+    up = [i for i, c in enumerate(columns) if c.startswith("bullish")]
+    bullish = F.col("signal").isin(up)
     fires = F.when(bullish, F.col("v") > 0).otherwise(F.col("v") < 0)
     against = F.col(TREND) == F.when(bullish, -1).otherwise(1)
     turned = F.when(bullish, F.col("_up")).otherwise(F.col("_down"))
@@ -257,7 +264,8 @@ def backtest(df: DataFrame, ahead: int = 60) -> DataFrame:
     counts = {"reversalCount": rev, "reversalSuccess": rev & turned, "reversalFailure": rev & ~turned, "continuationCount": cont, "continuationSuccess": cont & quiet, "continuationFailure": cont & ~quiet}
     part = F.split("signalName", "_")
     indicator = F.when(F.substring("signalName", 8, 1) == "_", F.get(part, F.lit(1))).otherwise("candlestick")
-    out = long.groupBy(*own, "signalName").agg(F.max("date").alias("date"), *(F.count_if(c).cast("long").alias(n) for n, c in counts.items()))
+    out = long.groupBy(*own, "signal").agg(F.max("date").alias("date"), *(F.count_if(c).cast("long").alias(n) for n, c in counts.items()))
+    out = out.withColumn("signalName", F.get(F.array(*map(F.lit, columns)), F.col("signal")))
     return out.select("date", *own, indicator.alias("indicator"), "signalName", *counts)
 
 

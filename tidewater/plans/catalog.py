@@ -561,7 +561,7 @@ _query(
 
 def _configured(spark: SparkSession, d: str) -> DataFrame:
     """All configured signals on the real swing columns, scored."""
-    return signals.score(signals.compile_signals(technicals(views.bars(spark, d).join(views.listing(spark, d), "ticker"))), list(signals.SIGNALS))
+    return signals.score(series.configured(views.bars(spark, d).join(views.listing(spark, d), "ticker"), (signals.TREND, "reversalConf")), list(signals.SIGNALS))
 
 
 _query("signals_backtest", lambda spark, d: signals.backtest(_configured(spark, d)))
