@@ -65,3 +65,4 @@ def test_no_wide_windows(spark):
     plan = lambda name: catalog.QUERIES[name](spark, d)._jdf.queryExecution().optimizedPlan().toString()
     assert plan("sig_all_configured").count("Window [") == 0
     assert plan("signals_backtest").count("Window [") <= 4
+    assert plan("signals_total_score").count("Window [") <= 1

@@ -218,13 +218,15 @@ def score(df: DataFrame, names: list[str], rates: DataFrame | None = None) -> Da
     if rates is not None:
         known = rates.groupBy("sector").agg(F.map_from_entries(F.collect_list(F.struct(F.regexp_replace("signalName", "_sig$", ""), F.struct("reversal", "continuation")))).alias("_rates"))
         df = df.join(F.broadcast(known), "sector", "left")
+    found = {}
     for name in names:
         sign = 1.0 if name.startswith("bullish") else -1.0
         value = F.when(turn(name) == "rev", sign * DEFAULTS["rev"]).otherwise(sign * DEFAULTS["cont"])
         if rates is not None:
             own = F.try_element_at("_rates", F.lit(name))
             value = F.coalesce(F.when(turn(name) == "rev", own["reversal"]).otherwise(own["continuation"]), value)
-        df = df.withColumn(f"{name}_sig", F.when(F.col(name), value).otherwise(0.0))
+        found[f"{name}_sig"] = F.when(F.col(name), value).otherwise(0.0)
+    df = df.withColumns(found)
     return df.drop(*names, *(["_rates"] if rates is not None else []))
 
 
